@@ -14,7 +14,6 @@ number of shards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 @dataclass(frozen=True)
 class PackRules:
@@ -80,6 +81,9 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     return [levels.add(s) for s in sizes]
 
 
+#: Specs of one call; each makes a row of every document.
+MOST_SPECS = 1000
+RESULT = "spec_id int, doc_id string, size long, part int, parts int, capacity int, container string, first_token long, tokens long, fill long"
 OUT = "spec_id int, doc_id string, size long, part int, parts int, tokens long, capacity int, shard long, box long, fill long, settled boolean"
 
 
@@ -129,13 +133,18 @@ def packed(docs: DataFrame, specs: DataFrame, key: str, text: str, rules: PackRu
         F.col(key).cast("string").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size")
     )
     spec = specs.where("spec_id IS NOT NULL AND capacity > 0").select(F.col("spec_id").cast("int"), F.col("capacity").cast("int")).distinct()
+    wanted = sorted(tuple(r) for r in spec.limit(MOST_SPECS + 1).collect())
+    if len(wanted) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} specs; pack for them in parts")
+    if not wanted:
+        return docs.sparkSession.createDataFrame([], RESULT)
     total = docs.count()
     shards = max(1, -(-total // rules.shard))
     sized = sized.groupBy("doc_id").agg(F.max("size").alias("size")).withColumn("order", F.xxhash64("doc_id"))
-    dealt = sized.withColumn("shard", F.pmod(F.shiftright("order", 7), F.lit(shards))).crossJoin(F.broadcast(spec.limit(10_000)))
+    dealt = sized.withColumn("shard", F.pmod(F.shiftright("order", 7), F.lit(shards)))
+    each = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity")) for i, c in wanted])
+    dealt = dealt.select("doc_id", "size", "order", "shard", F.inline(each))
     first = dealt.groupBy("spec_id", "shard").applyInPandas(_first_round(rules), OUT)
-    from ..session import checkpointed
-
     first = checkpointed(first)
     loose = first.where("NOT settled")
     groups = max(1, -(-shards // rules.shards_together))
@@ -156,11 +165,8 @@ def packed(docs: DataFrame, specs: DataFrame, key: str, text: str, rules: PackRu
     )
 
 
-def iter_fill(assigned: DataFrame) -> Iterator:
-    """Rows (spec_id, containers, used share, least containers possible) for a report; one row per spec."""
-    report = assigned.groupBy("spec_id").agg(
-        F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"), F.max("capacity").alias("capacity")
-    )
-    return report.select(
-        "spec_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("used_share")
-    ).toLocalIterator()
+def used(assigned: DataFrame) -> DataFrame:
+    """(spec_id, containers, tokens, used_share): how well the containers of each spec are filled."""
+    box = assigned.groupBy("spec_id", "container").agg(F.sum("tokens").alias("tokens"), F.max("capacity").alias("capacity"))
+    total = box.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("capacity").alias("room"))
+    return total.select("spec_id", "containers", "tokens", (F.col("tokens") / F.col("room")).alias("used_share"))

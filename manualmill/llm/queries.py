@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import checks, encoding, leak, near_dup, packing, repetition, residue_table, site_lines, split
+from . import checks, encoding, leak, near_dup, packing, repetition, residue_table, site_lines, split, style_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +119,24 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir)
 
 
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every deliverable as clean text without the unimportant branches of its site."""
+    site = site_lines.sites(table(spark, sf_dir, "manifests"))
+    clean = style_tree.cleaned(table(spark, sf_dir, "deliverables"), "slug", "kind", "content", site)
+    return clean.withColumnsRenamed({"key": "slug", "text": "content"})
+
+
+def p7_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each spec are filled."""
+    return packing.used(_packed(spark, sf_dir))
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which all words of a passage of an item stand close together, in any order."""
+    found = leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", span=16)
+    return found.select(F.col("doc").cast("bigint").alias("doc_id"), F.col("item").cast("bigint").alias("item_id"), "passages")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -126,13 +144,16 @@ QUERIES: dict[str, Query] = {
     "p3_blocks": p3_blocks,
     "p3_clean": p3_clean,
     "p4_found": p4_found,
+    "p4_clean": p4_clean,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_scored": p6_scored,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p7_used": p7_used,
     "p8_found": p8_found,
+    "p8_near": p8_near,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }

@@ -136,6 +136,8 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str, kind: str, tex
         F.min(F.struct("max_bytes", F.coalesce("overlap_bytes", F.lit(0)).alias("o"))).alias("m")
     )
     bound = bound.select(F.col("kind"), F.col("m.max_bytes").alias("limit"), F.least(F.col("m.o"), F.col("m.max_bytes") - 1).alias("overlap"))
+    if bound.limit(10_001).count() <= 10_000:
+        bound = F.broadcast(bound)
     own = docs.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(text).alias("text"))
-    large = own.where("text IS NOT NULL").join(F.broadcast(bound.limit(10_000)), "kind").where(F.octet_length("text") > F.col("limit"))
+    large = own.where("text IS NOT NULL").join(bound, "kind").where(F.octet_length("text") > F.col("limit"))
     return large.dropDuplicates(["key", "kind", "text"]).mapInArrow(_split_batches, SCHEMA)
