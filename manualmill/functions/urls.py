@@ -125,10 +125,10 @@ def image_name(url: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    d = n.cast("double")
+    d = n.cast("double")  # ties are rounded to even
     return (
         F.when(n < 1024, F.format_string("%.0f B", d))
-        .when(n < 1024**2, F.format_string("%.1f KB", d / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", d / 1024**2))
-        .otherwise(F.format_string("%.1f GB", d / 1024**3))
+        .when(n < 1024**2, F.format_string("%.1f KB", F.bround(d / 1024, 1)))
+        .when(n < 1024**3, F.format_string("%.1f MB", F.bround(d / 1024**2, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(d / 1024**3, 1)))
     )

@@ -17,7 +17,8 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     Done as a grouped minimum, which combines map-side, so a key that a third of the rows share is no problem.
     """
     rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order], *rest)
+    first = [(o if isinstance(o, Column) else F.col(o)).alias(f"_o{k}") for k, o in enumerate(order)]
+    rank = F.struct(*first, *rest)
     least = df.groupBy(*keys).agg(F.min(rank).alias("_m"))
     return least.select(*[F.col(c) if c in keys else F.col(f"_m.{c}").alias(c) for c in df.columns])
 
@@ -56,7 +57,7 @@ def idle_gaps(df: DataFrame, by: list[str], at: str, tie: str, seconds: int) ->
     if seconds < 0:
         raise ValueError("the window can't be negative")
     w = Window.partitionBy(*by).orderBy(at, tie)
-    gap = F.floor((F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(w))) / 1_000_000)
+    gap = F.floor((F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))) / 1_000_000)
     out = df.withColumn("gap_s", gap)
     return out.where(F.lit(seconds > 0) & (F.col("gap_s") > seconds))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.incremental import changed_slugs
 from ..session import table
+from . import corpus_queries, page_queries, source_queries, url_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +33,16 @@ WHERE p IS NULL OR (c.r <> p.r AND CASE WHEN c.s IS NOT NULL AND p.s IS NOT NULL
   WHEN c.m IS NOT NULL AND p.m IS NOT NULL THEN c.m <> p.m ELSE true END)
 """
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
-SQL: dict[str, str] = {"p2_found": _P2}
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    **url_queries.QUERIES,
+    **page_queries.QUERIES,
+    **corpus_queries.QUERIES,
+    **source_queries.QUERIES,
+}
+SQL: dict[str, str] = {"p2_found": _P2, **url_queries.SQL, **page_queries.SQL, **corpus_queries.SQL, **source_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_found(spark, sf_dir)
+    """Manuals built from their pages."""
+    return page_queries.q01_manual_build(spark, sf_dir)

@@ -123,7 +123,7 @@ def mkdocs_bodies(df: DataFrame, index: str, keys: list[str]) -> DataFrame:
     grouped = rows.groupBy(*keys, "path").agg(F.min("pos").alias("ord"), page.alias("page"), parts.alias("parts"))
     first = F.get(F.col("parts.text"), F.lit(0))
     text, title = F.coalesce("page.text", F.lit("")), F.coalesce("page.title", F.lit(""))
-    cut = F.when((F.length(first) > 0) & text.contains(first), F.trim(F.substring_index(text, first, 1))).otherwise(text)
+    cut = F.when((F.length(first) > 0) & text.contains(first), F.trim(F.call_function("substring_index", text, first, F.lit(1)))).otherwise(text)
     head = F.when(title != "", F.concat(F.lit("# "), title, F.when(cut != "", F.concat(F.lit("\n\n"), cut)).otherwise(""))).otherwise(cut)
     sections = F.transform("parts", lambda p: F.when(p["title"] != "", F.concat(F.lit("## "), p["title"], F.lit("\n\n"), p["text"])).otherwise(p["text"]))
     body = F.array_join(F.filter(F.concat(F.array(head), sections), lambda b: F.trim(b) != ""), "\n\n")
@@ -195,15 +195,19 @@ def _flatten(nodes: list, depth: int, out: list) -> None:
             _flatten(inner, depth + 1, out)
 
 
-@F.pandas_udf(_TREE_SCHEMA)
-def topic_tree(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def topic_tree(script: Column | str) -> Column:
     """Topics of a script that assigns a nested list (text, href, nodes), depth first; empty if it holds none."""
-    for texts in batches:
-        rows = []
-        for text in texts:
-            found: list = []
-            body = _balanced(text.lstrip("﻿"), 0) if isinstance(text, str) else None
-            if body:
-                _flatten(json.loads(body), 1, found)
-            rows.append([dict(zip(("ord", "depth", "kind", "text", "href"), r)) for r in found])
-        yield pd.Series(rows, dtype=object)
+
+    @F.pandas_udf(_TREE_SCHEMA)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                found: list = []
+                body = _balanced(text, 0) if isinstance(text, str) else None
+                if body:
+                    _flatten(json.loads(body), 1, found)
+                rows.append([dict(zip(("ord", "depth", "kind", "text", "href"), r)) for r in found])
+            yield pd.Series(rows, dtype=object)
+
+    return run(script)
