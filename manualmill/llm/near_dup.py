@@ -41,9 +41,9 @@ class OrderMinHash:
     length: int = 3
     similarity: float = 0.6
     least_words: int = 20
-    #: Half width of the alignment band, in words and as a share of the longer text.
-    band: int = 64
+    #: Half width of the alignment band: this share of the longer text, within these bounds, in words.
     band_share: float = 0.2
+    band: tuple[int, int] = (64, 2048)
     #: Candidate ids and shared sketch values up to this number are broadcast (at most 40 bytes each), more are shuffled.
     broadcast_ids: int = 400_000
 
@@ -117,7 +117,8 @@ def sketch(kmers: np.ndarray, p: OrderMinHash) -> np.ndarray:
 def banded_lcs(x: np.ndarray, y: np.ndarray, band: int) -> int:
     """Longest common subsequence of two sequences within a diagonal band, bit-parallel.
 
-    Bit i of a row stands for x[i]; matches outside |i - j*len(x)/len(y)| <= band are masked.
+    Bit i of a row stands for x[base + i]; only x[i] with |i - j*len(x)/len(y)| <= band can match y[j] (at the ends of
+    x the band keeps its full width).
     """
     n, m = len(x), len(y)
     if not n or not m:
@@ -125,18 +126,22 @@ def banded_lcs(x: np.ndarray, y: np.ndarray, band: int) -> int:
     where: dict[int, int] = {}
     for i, v in enumerate(x.tolist()):
         where[v] = where.get(v, 0) | (1 << i)
-    full = (1 << n) - 1
-    row = full
-    wide = (1 << (2 * band + 1)) - 1
+    # Only the bits of the band are kept: those below it don't change any more, those above it are still ones.
+    width = min(n, 2 * band + 1)
+    ones = (1 << width) - 1
+    row, base, common = ones, 0, 0
     for j, v in enumerate(y.tolist()):
+        step = min(max(0, j * n // m - band), n - width) - base
+        if step > 0:
+            common += step - (row & ((1 << step) - 1)).bit_count() if step <= width else width - row.bit_count()
+            row = (row >> step) | (((1 << min(step, width)) - 1) << (width - min(step, width)))
+            base += step
         match = where.get(v)
         if match is None:
             continue
-        shift = j * n // m - band
-        match &= wide << shift if shift >= 0 else wide >> -shift
-        u = row & match
-        row = ((row + u) | (row - u)) & full
-    return n - row.bit_count()
+        u = row & (match >> base)
+        row = ((row + u) | (row - u)) & ones
+    return common + width - row.bit_count()
 
 
 def _sketch_batches(p: OrderMinHash):
@@ -175,7 +180,7 @@ def _verify_batches(p: OrderMinHash):
                 both = len(np.intersect1d(ru, rv, assume_unique=True))
                 share.append(both / max(1, len(ru) + len(rv) - both))
                 if share[-1] >= p.similarity:  # the alignment of a pair that the exact check rejects is never used
-                    band = max(p.band, int(p.band_share * max(len(u), len(v))))
+                    band = min(max(p.band[0], int(p.band_share * max(len(u), len(v)))), p.band[1])
                     edit.append(2 * banded_lcs(u, v, band) / max(1, len(u) + len(v)))
                 else:
                     edit.append(None)
