@@ -55,6 +55,8 @@ class EncodingRules:
     #: of a character adds byte_gain, as it is unlikely to be well-formed by chance; a line's words; one word.
     span_gain: float = 1.0
     byte_gain: float = 1.5
+    #: Characters in a row that no chance makes well-formed.
+    sure_chars: int = 5
     line_gain: float = 5.0
     word_gain: float = 5.0
     rounds: int = 3
@@ -119,8 +121,14 @@ class Usual:
             t[self.codes] = np.log((self.counts + 0.5) / total)
             self._mean = float((t[self.codes] * self.counts).sum() / total)
             self._table = t - np.float32(self._mean)  # above 0: more usual than the usual pair
+            self.unseen = float(np.log(0.5 / total) - self._mean)
         return self._table
 
+    def known(self, cp: np.ndarray) -> bool:
+        """Did at least half of the pairs occur?"""
+        value = self.pairs(cp)[(cp[:-1] > 127) | (cp[1:] > 127)]
+        return 2 * int((value > self.unseen + 0.1).sum()) >= len(value)
+
     def __getstate__(self) -> dict:
         return {"codes": self.codes, "counts": self.counts}
 
@@ -152,8 +160,9 @@ def usual_pairs(docs: DataFrame, text: str) -> Usual:
     return Usual(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
-#: A word: no white space of ASCII inside, some character beyond ASCII.
-_WORD = re.compile(r"[^\x09-\x0d\x20\x80-\U0010ffff]*[^\x00-\x7f][^\x09-\x0d\x20]*")
+#: A word: no white space of ASCII inside, some character beyond ASCII.  It is only tried where a word begins, so that
+#: a long word without such a character is read once.
+_WORD = re.compile(r"(?<![^\x09-\x0d\x20])[^\x09-\x0d\x20\x80-\U0010ffff]*[^\x00-\x7f][^\x09-\x0d\x20]*")
 
 
 def _decodings(cp: np.ndarray, a: int, b: int, goods: set[str], usual: Usual, rounds: int) -> tuple[float, str]:
@@ -182,11 +191,12 @@ class Words:
         size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
         self.first = np.cumsum(size) - size
         self.size = size
+        self.usual.table()
         self.spans = self._spans()
         self.gain, self.sure, self.tables = self._gains()
 
-    def _spans(self) -> dict[int, tuple[str, int]]:
-        """Repaired word and number of spans, of the words with a wrongly read multibyte span."""
+    def _spans(self) -> dict[int, tuple[str, int, float]]:
+        """Repaired word, number of spans and gain, of the words with a wrongly read multibyte span."""
         cp, usual, rules = self.cp, self.usual, self.rules
         spans: dict[tuple[int, int], set[str]] = {}
         for encoding in READ_AS:
@@ -198,7 +208,9 @@ class Words:
             value, good = _decodings(cp, a, b, goods, usual, rules.rounds)
             bytes_after_first = len(good.encode()) - len(good)
             gain = value - float(now[b] - now[a - 1]) + rules.byte_gain * bytes_after_first
-            if gain >= rules.span_gain:
+            # A few bytes may be well-formed by chance: then what they give must occur elsewhere.
+            sure = len(good) >= rules.sure_chars or usual.known(np.concatenate((cp[a - 1 : a], code_points(good), cp[b : b + 1])))
+            if gain >= rules.span_gain and sure:
                 word = int(np.searchsorted(self.first, a, side="right")) - 1
                 found.setdefault(word, []).append((gain, a - int(self.first[word]) - 1, b - int(self.first[word]) - 1, good))
         out = {}
@@ -210,7 +222,7 @@ class Words:
             text = self.words[word]
             for a, b, good in sorted(taken, reverse=True):
                 text = text[:a] + good + text[b:]
-            out[word] = (text, len(taken))
+            out[word] = (text, len(taken), sum(g for g, a, b, x in options if (a, b, x) in taken))
         return out
 
     def _gains(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -262,27 +274,31 @@ def restore_all(texts: list[str], usual: Usual, rules: EncodingRules = EncodingR
     words = Words(list(number), usual, rules)
     line = np.concatenate(lines).astype(np.int64)
     which = np.array([w for own in places for _, _, w in own], np.int64)
-    decoded = np.isin(which, list(words.spans))
+    by_span = np.full(len(number), -1.0)
+    for w, (_, _, g) in words.spans.items():
+        by_span[w] = g
     _, line = np.unique(line, return_inverse=True)
-    by_line = np.stack([np.bincount(line, np.where(decoded, 0, g[which])) for g in words.sure])
+    by_line = np.stack([np.bincount(line, g[which]) for g in words.sure])
     choice = by_line.argmax(axis=0)
     enough = by_line.max(axis=0) >= rules.line_gain
     single = words.sure.argmax(axis=0)
     alone = words.sure.max(axis=0) >= rules.word_gain
     table = np.where(enough[line] & (words.gain[choice[line], which] > 0), choice[line], np.where(alone[which], single[which], -1))
-    table[decoded] = -1
+    # Of two explanations of a word the better one holds.
+    other = np.where(table >= 0, words.gain[np.maximum(table, 0), which], -np.inf)
+    table[(by_span[which] >= 0) & (by_span[which] >= other)] = -1
     out, at = [], 0
     for text, own in zip(texts, places):
         spans = reread = 0
         parts, last = [], 0
         for k, (a, b, w) in enumerate(own, at):
             new = None
-            if w in words.spans:
-                new, n = words.spans[w]
-                spans += n
-            elif table[k] >= 0:
+            if table[k] >= 0:
                 new = words.reread(w, int(table[k]))
                 reread += 1
+            elif w in words.spans:
+                new, n, _ = words.spans[w]
+                spans += n
             if new is not None:
                 parts += [text[last:a], new]
                 last = b
