@@ -11,7 +11,7 @@ agree in several sketches are candidates; a candidate is verified by the exact s
 common runs and described by a banded alignment of its word sequences.
 
 Plan: exact copies are folded into classes first; one narrow pass makes
-(sketch, text id) rows of 24 bytes; candidates come from a self equi-join of these
+(sketch, text hash) rows of 16 bytes; candidates come from a self equi-join of these
 rows on the sketch value (AQE splits skewed values); only the texts of
 candidates are read again.
 """
@@ -35,14 +35,14 @@ from .words import chunks, hash_words, mix, runs
 class OrderMinHash:
     """Parameters.
 
-    Texts of similarity s whose order is kept agree in a sketch with probability s^length, so at 0.6 in 20 of 96
-    sketches on average and in 12 if moved blocks cost the rest; texts of similarity 0.05, as boilerplate makes them, in
-    0.01.  With agree = 2 a pair of 0.6 is lost with a probability below 1 in 10,000, and texts that merely share
+    Texts of similarity s whose order is kept agree in a sketch with probability s^length, so at 0.6 in 27 of 128
+    sketches on average and in 15 if moved blocks cost the rest; texts of similarity 0.05, as boilerplate makes them, in
+    0.01.  With agree = 2 a pair of 0.6 is lost with a probability of about 1 in 100,000, and texts that merely share
     boilerplate, whose number grows as the square of the corpus, hardly ever become candidates.
     """
 
     run: int = 4
-    sketches: int = 96
+    sketches: int = 128
     in_text_order: int = 32
     length: int = 3
     #: Sketches in which two texts must agree to become candidates.
@@ -170,7 +170,7 @@ def _sketch_batches(p: OrderMinHash):
                     out_id += [ids[a + k]] * len(s)
             if values:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_id, pa.binary()), pa.array(np.concatenate(values).view(np.int64))], ["id", "sketch"]
+                    [pa.array(out_id, pa.int64()), pa.array(np.concatenate(values).view(np.int64))], ["id", "sketch"]
                 )
 
     return run
@@ -220,11 +220,13 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, text: str, p: OrderMinHash) -> DataFrame:
-    """(a, b), a < b: ids of different texts that agree in enough sketches."""
+    """(a, b), a < b: 64-bit hashes of different texts that agree in enough sketches.
+
+    Two texts with one hash, of which there are a few among ten billion, share their candidates, which verification sorts out.
+    """
     small_batches(docs.sparkSession)
-    own = docs.where(F.col(text).isNotNull()).select(_id(text).alias("id"), F.col(text).alias("text"))
-    rows = own.mapInArrow(_sketch_batches(p), "id binary, sketch long")
-    rows = checkpointed(rows)
+    own = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.col(text).alias("text"))
+    rows = checkpointed(own.mapInArrow(_sketch_batches(p), "id long, sketch long"))
     # Values that one text alone has, nearly all, are dropped before the join.
     several = rows.groupBy("sketch").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("sketch")
     rows = checkpointed(rows.join(_bounded(checkpointed(several), p), "sketch", "left_semi").distinct())
@@ -234,18 +236,18 @@ def candidates(docs: DataFrame, text: str, p: OrderMinHash) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, text: str, p: OrderMinHash = OrderMinHash()) -> DataFrame:
-    """(a, b, jaccard, alignment) of all pairs of different texts of the wanted similarity, ids as in classes().
+    """(a, b, jaccard, alignment) of all pairs of different texts of the wanted similarity, each once, ids as in classes().
 
     NULL texts and texts of fewer than least_words words are in no pair; repeated rows count once.
     """
     pairs = checkpointed(candidates(docs, text, p))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = _bounded(wanted, p)
-    texts = docs.where(F.col(text).isNotNull()).select(_id(text).alias("id"), F.col(text).alias("text"))
-    texts = checkpointed(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), _id(text).alias("whole"), F.col(text).alias("text"))
+    texts = checkpointed(texts.join(wanted, "id", "left_semi").dropDuplicates(["whole"]))
+    left = texts.select(F.col("id").alias("a"), F.col("whole").alias("whole_a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("whole").alias("whole_b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, "a").join(right, "b").select(F.col("whole_a").alias("a"), F.col("whole_b").alias("b"), "text_a", "text_b")
     found = both.mapInArrow(_verify_batches(p), "a binary, b binary, jaccard double, alignment double")
     return found.where(F.col("jaccard") >= p.similarity)
 
