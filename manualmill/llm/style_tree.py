@@ -149,6 +149,12 @@ _MARKDOWN = [
     (re.compile(r"(?<![\w\\/.])(_{1,2})(?=[^\s_])([^_\n]+?)(?<=[^\s_])\1(?![\w(/])"), lambda m: m.group(2)),
 ]
 
+#: What a text must contain for a conversion to find anything.
+_MARKDOWN_SIGNS = (
+    ("]:", _MARKDOWN[:1]), ("](", _MARKDOWN[1:2]), ("][", _MARKDOWN[2:3]), ("===", _MARKDOWN[3:4]), ("---", _MARKDOWN[3:4]), (" #", _MARKDOWN[4:5]),
+    ("--", _MARKDOWN[5:6]), ("~~", _MARKDOWN[6:7]), ("*", _MARKDOWN[7:8]), ("_", _MARKDOWN[8:]),
+)
+
 
 def plain_form(kind: str | None, text: str) -> str:
     """The text in the plain form; "\\x01path\\x02" marks before a block stay, for the tree."""
@@ -171,16 +177,21 @@ def plain_form(kind: str | None, text: str) -> str:
         text = re.sub(r"(?:^(?: {4}|\t)[^\n\f]*(?:\n|\Z))+", lambda m: code(re.sub(r"(?m)^(?: {4}|\t)", "", m.group(0))), text, flags=re.M) if _INDENTED.search(text) else text
     elif kind != "html":
         text = _FENCE.sub(fenced, text)
-    text = _DROP.sub("", _COMMENT.sub("", text))
-    text = _PRE.sub(lambda m: code(html.unescape(_TAG.sub("", m.group(1)))), text)
-    text = _without_tags(text)
+    if "<" in text:
+        text = _DROP.sub("", _COMMENT.sub("", text))
+        text = _PRE.sub(lambda m: code(html.unescape(_TAG.sub("", m.group(1)))), text)
+        text = _without_tags(text)
     text = html.unescape(text) if "&" in text else text
     text = text.replace("\f", "\n\n").replace("\n\n---\n\n", "\n\n")
-    for pattern, turn in _FORMULA:
-        text = pattern.sub(turn, text)
-    text = _IS_FORMULA.sub(lambda m: keep(m.group(0)), text)
-    for pattern, turn in (*_WIKI, *_LATEX, *_MARKDOWN):
-        text = pattern.sub(turn, text)
+    if "\\" in text:
+        for pattern, turn in _FORMULA:
+            text = pattern.sub(turn, text)
+    if "$" in text:
+        text = _IS_FORMULA.sub(lambda m: keep(m.group(0)), text)
+    for sign, rules in (("{|", _WIKI[:1]), ("[[", _WIKI[1:2]), ("{{", _WIKI[2:3]), ("==", _WIKI[3:4]), ("''", _WIKI[4:]), ("\\", _LATEX), *_MARKDOWN_SIGNS):
+        if sign in text:
+            for pattern, turn in rules:
+                text = pattern.sub(turn, text)
     return _KEPT.sub(lambda m: kept[int(m.group(1))], text)
 
 
@@ -289,7 +300,7 @@ def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for k, (p, b) in enumerate(left):
                 close = k and p == left[k - 1][0] and p.endswith(("/li", "/row"))
                 out += ("" if not k else "\n" if close else "\n\n") + b
-            formulas = sum(len(_IS_FORMULA.findall(b)) for p, b in left if not p.endswith("/code"))
+            formulas = sum(len(_IS_FORMULA.findall(b)) for p, b in left if "$" in b and not p.endswith("/code"))
             rows.append((key, out, count["h"], count["li"], count["row"], count["code"], formulas, len(tree) - len(left)))
         types = [pa.string(), pa.string(), *[pa.int32()] * 6]
         columns = list(zip(*rows)) if rows else [[]] * 8
