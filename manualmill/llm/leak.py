@@ -31,12 +31,12 @@ class LeakRules:
     #: Consecutive words that make a leak; an item with fewer words must be there whole.
     run: int = 12
     #: Test items searched in one pass; more are searched in further passes.
-    items_at_once: int = 50_000
+    items_at_once: int = 5_000
 
 
 @dataclass
 class Passages:
-    """All passages of a block of test items, as terms (row = passage, NaN-free: short passages repeat their first term)."""
+    """All passages of a block of test items, one row of term numbers each."""
 
     vocabulary: np.ndarray  # sorted term hashes
     terms: np.ndarray  # (passages, run) numbers of terms; -1 beyond the end of a short passage
@@ -122,10 +122,12 @@ def _padded(p: Passages) -> tuple[np.ndarray, np.ndarray]:
     return p.terms >= 0, np.where(p.terms >= 0, p.terms, p.terms[:, :1])
 
 
-def _search_batches(p: Passages, span: int | None):
-    real, filled = _padded(p)
+def _search_batches(sent, span: int | None):
+    """sent: the broadcast passages, some hundred bytes for each word of the items of one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        real, filled = _padded(p)
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             found: dict[tuple, int] = {}
@@ -164,7 +166,7 @@ def leaks(
     def search() -> None:
         p = passages([r["id"] for r in block], [r["text"] for r in block], rules.run)
         if len(p.terms):
-            passes.append(own.mapInArrow(_search_batches(p, span), "doc string, item string, passages long"))
+            passes.append(own.mapInArrow(_search_batches(docs.sparkSession.sparkContext.broadcast(p), span), "doc string, item string, passages long"))
         block.clear()
 
     for row in asked.distinct().toLocalIterator():
