@@ -14,6 +14,8 @@ BANNER = r"(?m)^(?:> ## Documentation Index[^\n]*\n(?:>[^\n]*\n?)*|> For the com
 FOOTER = r"\n#{1,6}\s+Agent Instructions(?::\s+Querying This Documentation)?\s*\n"
 LOCAL_IMAGE = r"""(?:src=["']|\]\()(images/[^"')\s]+)"""
 REMOTE_IMAGE = r"""(?i)(?:<img\b[^>]*?\bsrc=["']|!\[[^\]]*\]\()(https?://[^"')\s]+)"""
+ROOT_TARGET = r"\]\((/[^)]*)\)"
+ROOT_ATTRIBUTE = r"""((?:src|href)=["'])(/[^"']*)"""
 MARKDOWN_HEADING = r"(?m)^#{1,6} "
 HTML_HEADING = r"(?i)<h[1-6][\s>]"
 
@@ -67,8 +69,8 @@ def links(html: Column) -> Column:
 
 def absolutize_root(text: Column, origin: Column) -> Column:
     """Root-relative Markdown targets and src or href values under an origin."""
-    out = F.regexp_replace(text, F.lit(r"\]\(/([^/)])"), F.concat(F.lit("]("), origin, F.lit("/$1")))
-    return F.regexp_replace(out, F.lit(r'((?:src|href)=")/([^/"])'), F.concat(F.lit("$1"), origin, F.lit("/$2")))
+    out = F.regexp_replace(text, F.lit(ROOT_TARGET), F.concat(F.lit("]("), origin, F.lit("$1)")))
+    return F.regexp_replace(out, F.lit(ROOT_ATTRIBUTE), F.concat(F.lit("$1"), origin, F.lit("$2")))
 
 
 def strip_index_banner(md: Column) -> Column:

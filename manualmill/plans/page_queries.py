@@ -163,7 +163,7 @@ SQL = {
     "q17_page_title": f"SELECT slug, CASE WHEN {_TITLE} <> '' THEN {_TITLE} END AS title FROM {_C} WHERE kind = 'html'",
     "q18_headings": rf"SELECT slug, kind, CASE kind WHEN 'markdown' THEN len(regexp_extract_all(content, '(?m)^#{{1,6}} ')) WHEN 'html' THEN len(regexp_extract_all(content, '(?i)<h[1-6][\s>]')) ELSE 0 END::BIGINT AS headings FROM {_C}",
     "q19_visible_chars": f"SELECT slug, length({_VIS.format('content')})::BIGINT AS chars FROM {_C}",
-    "q20_absolutize": r"SELECT slug, sha256(regexp_replace(regexp_replace(content, '\]\(/([^/)])', '](https://origin.example/\1', 'g'), '((?:src|href)=" + '"' + r")/([^/" + '"' + r"])', '\1https://origin.example/\2', 'g')) AS sha256 FROM " + _C,
+    "q20_absolutize": r"""SELECT slug, sha256(regexp_replace(regexp_replace(content, '\]\((/[^)]*)\)', '](https://origin.example\1)', 'g'), '((?:src|href)=["''])(/[^"'']*)', '\1https://origin.example\2', 'g')) AS sha256 FROM """ + _C,
     "q21_link_inventory": "SELECT slug, count(*) AS links, count(DISTINCT href) AS targets FROM (SELECT slug, unnest(regexp_extract_all(content, 'href=\"([^\"]*)\"', 1)) AS href FROM " + _C + ") GROUP BY slug",
     "q22_best_image": rf"""WITH p AS (SELECT name, trim(unnest(string_split(srcset, ','))) AS part FROM {_SRC} WHERE srcset NOT LIKE '%data:%'),
 c AS (SELECT name, regexp_extract(part, '^(\S+)', 1) AS u, try_cast(nullif(regexp_extract(part, '\s(\d+)w$', 1), '') AS BIGINT) AS w, try_cast(nullif(regexp_extract(part, '\s(\d+(?:\.\d+)?)x$', 1), '') AS DOUBLE) AS x FROM p WHERE part <> ''),

@@ -157,6 +157,9 @@ SQL = {
     "q08_probe": "SELECT body, system FROM (VALUES " + ", ".join(f"({_q(b)}, {_q(s)})" for b, s in PROBES) + ") AS v(body, system)",
     "q10_index_pages": r"WITH t AS (SELECT slug, regexp_extract_all(content, '(?:\]\(|href=" + '"' + r")(/[^)" + '"' + r"\s]+)', 1) AS l FROM " + _C + ") SELECT slug, href, min(p)::BIGINT AS pos FROM (SELECT slug, unnest(l) AS href, unnest(range(len(l))) AS p FROM t) GROUP BY slug, href",
     "q40_sitemap": "SELECT system, ord, url FROM (VALUES ('docusaurus', 0::BIGINT, 'https://d.example/docs'), ('docusaurus', 1, 'https://d.example/docs/start'), ('docusaurus', 5, 'https://d.example/docs/print/all'), ('docusaurus', 6, 'https://d.example/docs/tags/'), ('hugo', 0, 'https://d.example/docs'), ('hugo', 1, 'https://d.example/docs/start'), ('hugo', 2, 'https://d.example/docs/1.2/start'), ('hugo', 3, 'https://d.example/docs/next/a')) AS v(system, ord, url)",
+    "q40_ancestors": rf"""WITH s AS (SELECT DISTINCT slug, source_url, regexp_extract(source_url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) AS o, regexp_replace(regexp_replace(regexp_replace(source_url, '[?#].*$', ''), '/+$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', '') AS p FROM manifests WHERE source_url IS NOT NULL),
+l AS (SELECT slug, o, list_filter(string_split(CASE WHEN regexp_matches(p, '/[^/]*\.[^/]*$') THEN regexp_replace(p, '/[^/]*$', '') ELSE p END, '/'), lambda x: x <> '') AS l FROM s)
+SELECT DISTINCT slug, depth::INT AS depth, o || CASE WHEN depth = 0 THEN '' ELSE '/' || array_to_string(l[1:depth], '/') END || '/sitemap.xml' AS candidate FROM (SELECT *, unnest(range(len(l) + 1)) AS depth FROM l)""",
     "q42_operations": f"WITH s AS (SELECT {_q(SPEC)}::JSON AS j), p AS (SELECT json_keys(j->'paths') AS k, j FROM s), r AS (SELECT unnest(k) AS path, unnest(range(len(k))) AS path_pos, j FROM p), "
     "t AS (SELECT path, path_pos, unnest(range(8)) AS method_pos, unnest(['get','post','put','patch','delete','head','options','trace']) AS method, j FROM r) "
     "SELECT path_pos::INT AS path_pos, path, method_pos::INT AS method_pos, method FROM t WHERE json_type(json_extract(json_extract(j, '$.paths.\"' || path || '\"'), '$.' || method)) = 'OBJECT'",

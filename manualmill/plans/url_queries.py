@@ -9,6 +9,7 @@ from ..functions import urls
 from ..operators import routing
 from ..operators.ordering import capped, first_seen, numbered
 from ..session import table
+from ..sources import systems
 
 #: URLs of every kind of source, and one of none.
 ROUTES = (
@@ -122,11 +123,23 @@ def q24_natural_sort(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("name", F.row_number().over(Window.orderBy(urls.natural_key(F.col("name")), "name")).cast("bigint").alias("ord"))
 
 
+def q46_system_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs, language and version by the rules of single systems."""
+    u = F.col("source_url")
+    return _slugs(spark, d).select("slug", "source_url", systems.pdf_slug(u).alias("pdf"), systems.clickhelp_slug(u).alias("publication"), systems.language_and_version(u).alias("r")).select("slug", "source_url", "pdf", "publication", "r.*")
+
+
+def q47_folded_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs of the titles of documents, accents folded."""
+    titles = table(spark, d, "documents").where("title IS NOT NULL").select("title").distinct()
+    return titles.select("title", systems.folded_slug(F.col("title")).alias("title_slug"))
+
+
 def q55_image_names(spark: SparkSession, d: str) -> DataFrame:
     return _slugs(spark, d).select("slug", "source_url", urls.image_name(F.col("source_url")).alias("local"))
 
 
-QUERIES = {f.__name__: f for f in (q02_url_parts, q03_slug_from_host, q04_classify_routes, q05_classify_manifests, q06_base_dir, q07_slugify, q08_slug_rules, q09_ordinal_per_site, q10_first_seen, q11_capped_sites, q24_natural_sort, q55_image_names)}
+QUERIES = {f.__name__: f for f in (q02_url_parts, q03_slug_from_host, q04_classify_routes, q05_classify_manifests, q06_base_dir, q07_slugify, q08_slug_rules, q09_ordinal_per_site, q10_first_seen, q11_capped_sites, q24_natural_sort, q46_system_slugs, q47_folded_slugs, q55_image_names)}
 
 _S = "(SELECT DISTINCT slug, source_url FROM manifests WHERE source_url IS NOT NULL)"
 _P, _N, _H = _PATH.format(u="source_url"), _NET.format(u="source_url"), _HOST.format(u="source_url")
@@ -152,6 +165,10 @@ SQL = {
     "q10_first_seen": "SELECT page, min(rec_id) AS rec_id, arg_min(slug, rec_id) AS slug FROM (SELECT split_part(source_url, '#', 1) AS page, rec_id, slug FROM manifest_log WHERE source_url IS NOT NULL) GROUP BY page",
     "q11_capped_sites": f"SELECT site, source_url, count(*) OVER (PARTITION BY site) > 5 AS truncated FROM (SELECT DISTINCT {_H} AS site, source_url FROM {_S}) QUALIFY row_number() OVER (PARTITION BY site ORDER BY source_url) <= 5",
     "q24_natural_sort": r"SELECT name, row_number() OVER (ORDER BY list_transform(regexp_extract_all(name, '(\d+|\D+)'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 20, '0') ELSE lower(p) END), name) AS ord FROM (SELECT DISTINCT p_type || ' ' || p_size AS name FROM part)",
+    "q46_system_slugs": rf"""WITH s AS (SELECT slug, source_url, {_N} AS net, regexp_extract(regexp_replace({_P}, '/+$', ''), '([^/]*)$', 1) AS last, list_filter(string_split({_P}, '/'), lambda x: x <> '') AS l,
+  list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(source_url, '/[^/]*$', ''), '/HTML$', ''), '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//[^/?#]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND lower(x) NOT IN ('manual', 'manuals', 'html', 'docs')) AS p FROM {_S}),
+t AS (SELECT *, CASE WHEN lower(last) LIKE '%.pdf' THEN {_SLUG.format("regexp_replace(last, '(?i)\\.pdf$', '')")} ELSE {_SLUG.format("string_split(regexp_replace(net, '^www\\.', ''), '.')[1]")} END AS pdf, coalesce({_SLUG.format('p[-1]')}, '') AS pub, len(l) >= 2 AND regexp_matches(l[1], '^[a-z]{{2}}(?:-[a-z]{{2,4}})?$') AS named FROM s)
+SELECT slug, source_url, CASE WHEN pdf = '' THEN 'manual' ELSE pdf END AS pdf, CASE WHEN pub = '' THEN 'manual' ELSE pub END AS publication, CASE WHEN named THEN l[1] ELSE 'en' END AS language, CASE WHEN named THEN l[2] ELSE 'latest' END AS version FROM t""",
     "q55_image_names": rf"""WITH b AS (SELECT slug, source_url, regexp_extract({_P}, '([^/]*)$', 1) AS base FROM {_S}),
 n AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(base, '\.[A-Za-z0-9]+$', ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS stem, lower(regexp_extract(base, '[^.](\.[^./]+)$', 1)) AS suffix FROM b)
 SELECT slug, source_url, CASE WHEN stem = '' THEN 'image' ELSE stem END || CASE WHEN suffix = '.jpeg' THEN '.jpg' WHEN suffix IN ('.png', '.jpg', '.gif', '.webp', '.svg') THEN suffix ELSE '' END AS local FROM n""",

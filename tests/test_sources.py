@@ -146,3 +146,45 @@ def test_markup_scalars(spark):
     assert one(spark, markup.generator_meta(F.col("h")), h='<meta content="MkDocs-1" name=generator>') == "mkdocs-1"
     assert one(spark, markup.strip_scripts(F.col("h")), h="a<script>x</script>b<STYLE>y</STYLE >c") == "abc"
     assert one(spark, urls.human_size(F.lit(2304))  , h="") == "2.2 KB" and one(spark, urls.image_name(F.col("u")), u="https://h/A b.JPEG?x=1") == "a-b.jpg" and one(spark, urls.image_name(F.col("u")), u="https://h/") == "image"
+
+
+def test_single_systems(spark):
+    from manualmill.sources import systems as s
+
+    assert one(spark, s.clickhelp_slug(F.col("u")), u="https://h/docs/Prod_One/manual/HTML/x.html") == "prod-one" and one(spark, s.clickhelp_slug(F.col("u")), u="https://h/x.html") == "manual"
+    assert one(spark, s.paligo_base(F.col("u"), F.col("b")), u="https://h/p/index.html", b='<a href="de/start.html">') == "https://h/p/de" and one(spark, s.paligo_base(F.col("u"), F.col("b")), u="https://h/p/x.html", b="") == "https://h/p"
+    assert one(spark, s.st4_title(F.col("t")), t='var projectTitle = "[web] Pump 7";') == "Pump 7" and one(spark, s.st4_title(F.col("t")), t="none") is None
+    assert one(spark, s.book_title(F.col("h")), h="<title>1.1 Cells - Why - Concepts of Biology | OpenStax</title>") == "Concepts of Biology" and one(spark, s.book_title(F.col("h")), h="") is None
+    assert tuple(one(spark, s.language_and_version(F.col("u")), u="https://x.readthedocs.io/de/stable/a")) == ("de", "stable") and tuple(one(spark, s.language_and_version(F.col("u")), u="https://x/")) == ("en", "latest")
+    assert one(spark, s.pdf_slug(F.col("u")), u="https://h/My%20Manual+1.PDF") == "my-manual-1" and one(spark, s.pdf_slug(F.col("u")), u="https://www.site.example/_/downloads/en/1/pdf/") == "site"
+    assert [r[0] for r in spark.createDataFrame([("Café Ü/2",), ("///",), (None,), ("..",)], "t string").select(s.folded_slug(F.col("t"))).collect()] == ["cafe-u-2", None, None, None]
+    data = spark.createDataFrame([(bytearray(b"\r\n%PDF-1.4"),), (bytearray(b"x" * 1024 + b"%PDF-"),), (None,)], "d binary")
+    assert [r[0] for r in data.select(s.is_pdf(F.col("d"))).collect()] == [True, False, None]
+
+
+def test_contents_tree_of_a_guide():
+    from manualmill.sources.systems import _topics
+
+    html = '<div id="modal-toc-container"><ul class="toc"><li><button>Basics</button><ul><li><a href="/guide/n/one-1/mac">One</a></li><li><a href="/guide/n/one-1/mac">Again</a></li></ul></li><li><a data-ajax-endpoint="/guide/n/two-2/x">Two</a><ul><li><a href="/guide/n/three-3/x">Three</a></li></ul></li></ul></div>'
+    assert [(t["kind"], t["name"], t["level"]) for t in _topics(html)] == [("group", "Basics", 2), ("topic", "one-1", 3), ("topic", "two-2", 2), ("topic", "three-3", 3)]
+    assert _topics(None) == [] and _topics("<p>") == []
+
+
+def test_images_of_rendered_pages(spark):
+    from manualmill.sources import systems as s
+
+    html = '<img src="~gitbook/image?url=https%3A%2F%2Fh%2Fo%2Fassets%252FB7.png%3Falt&w=1"><img src="~gitbook/image?url=https%3A%2F%2Fh%2Fo%2Fuploads%252Fx.png"><img src="~gitbook/image?url=https%3A%2F%2Fh%2Fspace%252Ficon%252Fy.png">'
+    assert s.proxied_images(html) == ["https://h/o/assets%2FB7.png?alt", "https://h/o/uploads%2Fx.png"] and s.proxied_images(None) == []
+    got = one(spark, s.gitbook_page(F.col("m"), F.col("h"), F.lit("https://o")), m="![a](/files/Q1) ![b](/files/B7) ![c](/files/Z9) [d](/e)\n\n---\n\n# Agent Instructions\nx", h=html)
+    assert got == "![a](https://h/o/uploads%2Fx.png) ![b](https://h/o/assets%2FB7.png?alt) ![c](https://o/files/Z9) [d](https://o/e)"
+    assert one(spark, s.gitbook_page(F.col("m"), F.col("h"), F.lit("https://o")), m=None, h=None) is None
+
+
+def test_articles_and_aliases(spark):
+    from manualmill.sources import systems as s
+
+    pages = spark.createDataFrame([("a", 1, '<h1>T</h1><div id="ocArticle">x</div>'), ("a", 2, '<div id="ocArticle">shell</div>'), ("a", 3, "<p>none</p>")], "s string, ord int, html string")
+    got = s.support_article(pages.withColumn("url", F.lit("https://h/")), "html", "url").orderBy("ord").collect()
+    assert [(r.ord, r.title, r.body) for r in got] == [(1, "T", "x"), (3, "", None)] or [(r.ord, r.title, r.body) for r in got] == [(1, "T", "x")]
+    same = spark.createDataFrame([("a", 2, "x"), ("a", 1, "x"), ("a", 3, None), ("a", 4, None), ("b", 5, "x")], "s string, ord int, body string")
+    assert sorted(r.ord for r in s.unaliased(same, ["s"], "ord", "body").collect()) == [1, 3, 4, 5]
