@@ -160,6 +160,11 @@ def usual_pairs(docs: DataFrame, text: str) -> Usual:
     return Usual(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
+def telling(cp: np.ndarray) -> np.ndarray:
+    """Is a character beyond ASCII and no typographic mark?  Marks alone are no sign of a wrong reading."""
+    return (cp > 127) & ~((cp >= 0x2010) & (cp <= 0x2044)) & (cp != 0x2122)
+
+
 #: A word: no white space of ASCII inside, some character beyond ASCII.  It is only tried where a word begins, so that
 #: a long word without such a character is read once.
 _WORD = re.compile(r"(?<![^\x09-\x0d\x20])[^\x09-\x0d\x20\x80-\U0010ffff]*[^\x00-\x7f][^\x09-\x0d\x20]*")
@@ -210,7 +215,7 @@ class Words:
             gain = value - float(now[b] - now[a - 1]) + rules.byte_gain * bytes_after_first
             # A few bytes may be well-formed by chance: then what they give must occur elsewhere.
             sure = len(good) >= rules.sure_chars or usual.known(np.concatenate((cp[a - 1 : a], code_points(good), cp[b : b + 1])))
-            if gain >= rules.span_gain and sure:
+            if gain >= rules.span_gain and sure and telling(cp[a:b]).any():
                 word = int(np.searchsorted(self.first, a, side="right")) - 1
                 found.setdefault(word, []).append((gain, a - int(self.first[word]) - 1, b - int(self.first[word]) - 1, good))
         out = {}
@@ -228,10 +233,9 @@ class Words:
     def _gains(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """For each table of SINGLE_BYTE (row) and word: how much likelier the re-read word is; the same without unsure words."""
         own, first, usual = self.cp.copy(), self.first, self.usual
-        # A no-break space between ASCII characters is one, and typographic marks alone are no sign of a wrong reading.
+        # A no-break space between ASCII characters is one.
         joint = (own[1:-1] == 0xA0) & (own[:-2] < 128) & (own[2:] < 128)
         own[1:-1][joint] = 32
-        telling = (own > 127) & ~((own >= 0x2010) & (own <= 0x2044))
         pairs = lambda x: np.add.reduceat(np.append(usual.pairs(x), np.float32(0)), first)
         now = pairs(own)
         gain = np.zeros((len(SINGLE_BYTE), len(first)), np.float32)
@@ -244,7 +248,7 @@ class Words:
             gain[k] = np.where(whole, pairs(new) - now, -20.0)
             tables.append(new)
         # A word of one character says too little: it follows its line.
-        tells = (self.size > 3) & (np.add.reduceat(telling, first) > 0)
+        tells = (self.size > 3) & (np.add.reduceat(telling(own), first) > 0)
         return gain, np.where(tells, gain, 0), tables
 
     def reread(self, word: int, table: int) -> str:
