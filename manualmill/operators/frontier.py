@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .ordering import numbered
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, cap: int, rounds: int = 1000) -> DataFrame:
@@ -40,11 +41,9 @@ def crawl(edges: DataFrame, seeds: DataFrame, cap: int, rounds: int = 1000) -> D
 
 
 def _ranked(rows: DataFrame, last: str | None) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source").orderBy("_k", "node"))
+    out = numbered(checkpointed(rows), ["source"], ["_k", "node"], "_n")
     start = F.col(last) if last else F.lit(-1)
-    return rows.withColumn("ord", (start + n).cast("bigint")).select("source", "node", "depth", "ord")
+    return out.withColumn("ord", (start + 1 + F.col("_n")).cast("bigint")).select("source", "node", "depth", "ord")
 
 
 def chain(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from .ordering import numbered
 
 #: What stands between the pages of a Markdown deliverable.
 RULE = "\n\n---\n\n"
@@ -45,7 +46,4 @@ def in_table_order(pages: DataFrame, toc: DataFrame, by: list[str], key: str) ->
     first = toc.groupBy(*by, key).agg(F.min(F.struct("ord", "level")).alias("_t"))
     listed = pages.join(first, [*by, key]).select(*pages.columns, F.lit(0).alias("_rest"), F.col("_t.ord").alias("_at"), F.col("_t.level").alias("level"))
     other = pages.join(first, [*by, key], "left_anti").select(*pages.columns, F.lit(1).alias("_rest"), F.lit(0).alias("_at"), F.lit(2).alias("level"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by).orderBy("_rest", "_at", key)
-    return listed.unionByName(other).withColumn("ord", (F.row_number().over(w) - 1).cast("bigint")).drop("_rest", "_at")
+    return numbered(listed.unionByName(other), by, ["_rest", "_at", key]).drop("_rest", "_at")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators.ordering import first_seen
+from ..operators.ordering import first_seen, numbered
 
 # Patterns and names of the indexes.
 VERSION_SEGMENT = r"^(?:\d+\.(?:\d+|x)[^/]*|next)$"
@@ -141,10 +141,8 @@ def repository_pages(tree: DataFrame, toc: DataFrame, keys: list[str]) -> DataFr
     name = F.substring_index(F.regexp_replace(F.regexp_replace("target", r"[#?].*$", ""), "/+$", ""), "/", -1)
     listed = targets.select(*keys, F.concat(F.regexp_replace(name, r"\.md$", ""), F.lit(".md")).alias("path"), "ord")
     listed = listed.groupBy(*keys, "path").agg(F.min("ord").alias("at"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*keys).orderBy(F.coalesce("at", F.lit(1 << 30)), "path")
-    return files.join(listed, [*keys, "path"], "left").withColumn("ord", F.row_number().over(order) - 1).drop("at")
+    placed = files.join(listed, [*keys, "path"], "left").withColumn("at", F.coalesce("at", F.lit(1 << 30)))
+    return numbered(placed, keys, ["at", "path"]).drop("at")
 
 
 def zendesk_endpoint(url: Column) -> Column:

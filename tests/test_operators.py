@@ -46,6 +46,21 @@ def test_attempts_and_saved(spark):
     assert rows(ordering.attempt_and_saved(df, ["s"], ["k"], F.col("ok")), "k", "attempt", "saved") == [(1, 0, 0), (2, 1, None), (3, 2, 1), (4, 3, None)]
 
 
+def test_segments_change_nothing(spark):
+    rng = random.Random(4)
+    t = datetime(2025, 1, 1)
+    data = [(None if rng.random() < 0.05 else "hot" if rng.random() < 0.5 else f"s{rng.randrange(5)}", k, t + timedelta(seconds=rng.randrange(10**5)), rng.random() < 0.6, rng.random() < 0.7) for k in range(400)]
+    df = spark.createDataFrame(data, "k string, id int, ts timestamp, ok boolean, leaf boolean")
+    for f in (
+        lambda n: ordering.numbered(df, ["k"], ["ts", "id"], rows=n),
+        lambda n: ordering.attempt_and_saved(df, ["k"], ["ts", "id"], F.col("ok"), rows=n),
+        lambda n: ordering.idle_gaps(df, ["k"], "ts", "id", 100, rows=n),
+        lambda n: ordering.carried_forward(df, ["k"], "id", F.col("leaf"), F.col("ok"), "id", rows=n),
+    ):
+        whole, cut = (sorted(str(r) for r in f(n).collect()) for n in (10**6, 37))
+        assert whole == cut and whole
+
+
 def test_headings_survive_lost_leaves(spark):
     df = spark.createDataFrame([("m", 0, False, True, "A"), ("m", 1, True, False, "lost"), ("m", 2, False, True, "B"), ("m", 3, True, True, "leaf"), ("m", 4, False, True, "end")], "m string, ord int, leaf boolean, ok boolean, t string")
     assert rows(ordering.carried_forward(df, ["m"], "ord", F.col("leaf"), F.col("ok"), "t")) == [("m", 3, ["A", "B"])]
