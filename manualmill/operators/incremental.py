@@ -71,8 +71,11 @@ def _first_at_or_after(x: Column, bounds: list) -> Column:
 def changed_slugs(log: DataFrame, runs: DataFrame, most_runs: int = 20_000) -> DataFrame:
     """(run_id, slug, rec_id): what each run with status ok must process, and the current record then.
 
-    Runs are few by nature (one for each refresh); up to most_runs of them become a sorted array in the plan.  A
-    record belongs to the first ok run that sees it.  Records are reduced to the greatest (ingested_at, rec_id) of
+    This is the rule of IncrementalJob for a log and the runs that were made: the watermark of a run is the start of the
+    last successful run before it, its upper limit its own start, and a run that failed commits nothing, so what it saw
+    falls to the next successful one.  A record belongs to the run in whose interval it arrived.
+
+    Runs are few by nature (one for each refresh); up to most_runs of them become a sorted array in the plan.  Records are reduced to the greatest (ingested_at, rec_id) of
     each slug and run with map-side combine, so a hot slug leaves at most one row for each run; a running maximum over
     the runs of a slug then gives its current record.
 
@@ -80,9 +83,10 @@ def changed_slugs(log: DataFrame, runs: DataFrame, most_runs: int = 20_000) -> D
     given twice count once; runs without started_at or run_id are ignored; of ok runs that started at the same
     instant the one of the smallest run_id has the work and the others have none.
     """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))  # noqa: E731  (the same for either kind of timestamp)
     done = runs.where("status = 'ok' AND started_at IS NOT NULL AND run_id IS NOT NULL")
-    done = done.groupBy("started_at").agg(F.min("run_id").alias("run_id"))
-    rows = sorted((r["started_at"], r["run_id"]) for r in done.limit(most_runs + 1).collect())
+    done = done.groupBy(micros("started_at").alias("t")).agg(F.min("run_id").alias("run_id"))
+    rows = sorted((r["t"], r["run_id"]) for r in done.limit(most_runs + 1).collect())
     if len(rows) > most_runs:
         raise ValueError(f"more than {most_runs} successful runs; state them in parts, each from its first run on")
     if not rows:
@@ -95,7 +99,7 @@ def changed_slugs(log: DataFrame, runs: DataFrame, most_runs: int = 20_000) -> D
         F.col("last_modified"),
     )
     seen = log.where("slug IS NOT NULL AND rec_id IS NOT NULL AND arrived_at IS NOT NULL")
-    seen = seen.select("slug", _first_at_or_after(F.col("arrived_at"), [t for t, _ in rows]).alias("n"), record.alias("r"))
+    seen = seen.select("slug", _first_at_or_after(micros("arrived_at"), [t for t, _ in rows]).alias("n"), record.alias("r"))
     first = seen.where(F.col("n") < len(rows)).groupBy("slug", "n").agg(F.max("r").alias("r"))
     w = Window.partitionBy("slug").orderBy("n")
     states = first.withColumn("now", F.max("r").over(w)).withColumn("prev", F.lag("now").over(w))
