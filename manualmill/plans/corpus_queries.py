@@ -10,7 +10,7 @@ from ..operators import corpus, images
 from ..operators.routing import PATTERNS, registry
 from ..session import table
 from ..streaming import progress
-from .page_queries import _C, _contents
+from .page_queries import _C, _contents, _rows
 
 
 def _manifests(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def q25_manifest_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q26_duplicate_content(spark: SparkSession, d: str) -> DataFrame:
-    rows = _contents(spark, d).select("slug", F.sha2("content", 256).alias("sha256"))
+    rows = _rows(spark, d).select("slug", F.sha2("content", 256).alias("sha256"))
     return corpus.duplicates(rows, "sha256").select("slug", "sha256", "others")
 
 
@@ -97,7 +97,7 @@ def q34_refresh_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def q35_stale_slugs(spark: SparkSession, d: str) -> DataFrame:
     have = table(spark, d, "ingest_results").where("slug IS NOT NULL").select("slug").distinct()
-    return have.join(_contents(spark, d).select("slug"), "slug", "left_anti")
+    return have.join(_rows(spark, d).select("slug").distinct(), "slug", "left_anti")
 
 
 def q36_sidecar_merge(spark: SparkSession, d: str) -> DataFrame:
