@@ -12,6 +12,10 @@ neighbouring characters with a character beyond ASCII are counted over all
 documents, and the repaired text must be likelier by these counts.  So correct
 unusual characters stay as they are.
 
+A character may be written as a numeric or named character reference; references
+to characters beyond ASCII are read as their characters everywhere, and a repair
+replaces the references it covers and no others.
+
 Plan: two narrow passes over the texts and no shuffle of texts.  The counts are
 pre-aggregated by chunk; their number is bounded by the alphabet (CLASSES squared)
 whatever the size of the corpus.
@@ -20,9 +24,11 @@ whatever the size of the corpus.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -144,9 +150,54 @@ def pair_codes(cp: np.ndarray) -> np.ndarray:
     return (k[:-1] * CLASSES + k[1:])[(cp[:-1] > 127) | (cp[1:] > 127)]
 
 
+#: A character reference, also one whose & was escaped again.
+_REFERENCE = re.compile(r"&(?:amp;)*(?:#0*([0-9]{1,7})(?![0-9]);?|#[xX]0*([0-9A-Fa-f]{1,6})(?![0-9A-Fa-f]);?|([A-Za-z][A-Za-z0-9]*;?)(?!=))")
+
+
+def _referred(m: re.Match) -> int:
+    """The code point a reference stands for; 0 if it is none, or in ASCII, or no single character."""
+    if m.group(3):
+        c = html5.get(m.group(3), "")
+        return ord(c) if len(c) == 1 and c > "\x7f" else 0
+    n = int(m.group(1)) if m.group(1) else int(m.group(2), 16)
+    return n if 0x80 <= n < 0xD800 or 0xE000 <= n < 0x110000 else 0
+
+
+class Read:
+    """A text with its references to characters beyond ASCII read as these characters, and where they were.
+
+    A reference to a control character is that character in seen, as it may be a byte; in meant it is what HTML takes
+    it for.  Both have the same length.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.at: list[int] = []  # places of the references in seen
+        self.more = [0]  # by how many characters the first n of them were longer
+        self.seen = self.meant = text
+        found = [(m, c) for m in _REFERENCE.finditer(text) if (c := _referred(m))] if "&" in text else []
+        if not found:
+            return
+        parts, last = [], 0
+        for m, c in found:
+            parts += [text[last : m.start()], chr(c)]
+            last = m.end()
+            self.at.append(m.start() - self.more[-1])
+            self.more.append(self.more[-1] + m.end() - m.start() - 1)
+        parts.append(text[last:])
+        self.seen = self.meant = "".join(parts)
+        if any(c < 0xA0 for _, c in found):
+            parts[1::2] = [_byte_char("cp1252", c) if c < 0xA0 else chr(c) for _, c in found]
+            self.meant = "".join(parts)
+
+    def place(self, at: int) -> int:
+        """Where in the text a place in seen is."""
+        return at + self.more[bisect_left(self.at, at)]
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t for t in batch.column("text").to_pylist() if not t.isascii()]
+        texts = [Read(t).meant for t in batch.column("text").to_pylist() if "&" in t or not t.isascii()]
+        texts = [t for t in texts if not t.isascii()]
         for a, b in chunks(texts):
             codes, counts = np.unique(pair_codes(code_points(" " + " \n ".join(texts[a:b]) + " ")), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "n"])
@@ -190,8 +241,8 @@ def _decodings(cp: np.ndarray, a: int, b: int, goods: set[str], usual: Usual, ro
 class Words:
     """What the distinct words of some texts may be wrong readings of.  Words stand between spaces in one array."""
 
-    def __init__(self, words: list[str], usual: Usual, rules: EncodingRules) -> None:
-        self.words, self.usual, self.rules = words, usual, rules
+    def __init__(self, words: list[str], meant: list[str], usual: Usual, rules: EncodingRules) -> None:
+        self.words, self.meant, self.usual, self.rules = words, meant, usual, rules
         self.cp = code_points(" " + "".join(w + "  " for w in words))
         size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
         self.first = np.cumsum(size) - size
@@ -200,8 +251,8 @@ class Words:
         self.spans = self._spans()
         self.gain, self.sure, self.tables = self._gains()
 
-    def _spans(self) -> dict[int, tuple[str, int, float]]:
-        """Repaired word, number of spans and gain, of the words with a wrongly read multibyte span."""
+    def _spans(self) -> dict[int, tuple[list[tuple[int, int, str]], float]]:
+        """Spans (start, end, text) and gain, of the words with a wrongly read multibyte span."""
         cp, usual, rules = self.cp, self.usual, self.rules
         spans: dict[tuple[int, int], set[str]] = {}
         for encoding in READ_AS:
@@ -224,15 +275,12 @@ class Words:
             for _, a, b, good in sorted(options, key=lambda x: (-x[0], x[1])):
                 if all(b <= c or a >= d for c, d, _ in taken):
                     taken.append((a, b, good))
-            text = self.words[word]
-            for a, b, good in sorted(taken, reverse=True):
-                text = text[:a] + good + text[b:]
-            out[word] = (text, len(taken), sum(g for g, a, b, x in options if (a, b, x) in taken))
+            out[word] = (sorted(taken), sum(g for g, a, b, x in options if (a, b, x) in taken))
         return out
 
     def _gains(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """For each table of SINGLE_BYTE (row) and word: how much likelier the re-read word is; the same without unsure words."""
-        own, first, usual = self.cp.copy(), self.first, self.usual
+        own, first, usual = code_points(" " + "".join(w + "  " for w in self.meant)).copy(), self.first, self.usual
         # A no-break space between ASCII characters is one.
         joint = (own[1:-1] == 0xA0) & (own[:-2] < 128) & (own[2:] < 128)
         own[1:-1][joint] = 32
@@ -251,35 +299,40 @@ class Words:
         tells = (self.size > 3) & (np.add.reduceat(telling(own), first) > 0)
         return gain, np.where(tells, gain, 0), tables
 
-    def reread(self, word: int, table: int) -> str:
+    def reread(self, word: int, table: int) -> list[tuple[int, int, str]]:
+        """The characters (start, end, text) of the word that the table changes."""
         a = int(self.first[word]) + 1
         b = a + len(self.words[word])
         new = self.tables[table][a:b]
-        return "".join(map(chr, np.where(new == 32, self.cp[a:b], new).tolist()))
+        old = code_points(self.meant[word])
+        return [(k, k + 1, chr(new[k])) for k in np.flatnonzero((new != old) & (new != 32)).tolist()]
 
 
 def restore_all(texts: list[str], usual: Usual, rules: EncodingRules = EncodingRules()) -> list[tuple[str, int, int, int]]:
     """For each text (repaired text, spans decoded, words re-read, characters lost)."""
-    number: dict[str, int] = {}
-    places: list[list[tuple[int, int, int]]] = []  # by text: start, end, word
+    number: dict[tuple[str, str], int] = {}
+    reads: list[Read] = []
+    places: list[list[tuple[int, int]]] = []  # by text: start, word
     lines: list[np.ndarray] = []
     base = 0
     for text in texts:
         own = []
-        if not text.isascii():
-            for m in _WORD.finditer(text):
-                own.append((*m.span(), number.setdefault(m.group(0), len(number))))
+        read = Read(text)
+        if not read.seen.isascii():
+            for m in _WORD.finditer(read.seen):
+                own.append((m.start(), number.setdefault((m.group(0), read.meant[m.start() : m.end()]), len(number))))
+        reads.append(read)
         places.append(own)
-        ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10) if own else np.zeros(0, int)
-        lines.append(base + np.searchsorted(ends, [a for a, _, _ in own]))
+        ends = np.flatnonzero(code_points(read.seen) == 10) if own else np.zeros(0, int)
+        lines.append(base + np.searchsorted(ends, [a for a, _ in own]))
         base += len(ends) + 1
     if not number:
         return [(t, 0, 0, 0) for t in texts]
-    words = Words(list(number), usual, rules)
+    words = Words([w for w, _ in number], [m for _, m in number], usual, rules)
     line = np.concatenate(lines).astype(np.int64)
-    which = np.array([w for own in places for _, _, w in own], np.int64)
+    which = np.array([w for own in places for _, w in own], np.int64)
     by_span = np.full(len(number), -1.0)
-    for w, (_, _, g) in words.spans.items():
+    for w, (_, g) in words.spans.items():
         by_span[w] = g
     _, line = np.unique(line, return_inverse=True)
     by_line = np.stack([np.bincount(line, g[which]) for g in words.sure])
@@ -292,22 +345,22 @@ def restore_all(texts: list[str], usual: Usual, rules: EncodingRules = EncodingR
     other = np.where(table >= 0, words.gain[np.maximum(table, 0), which], -np.inf)
     table[(by_span[which] >= 0) & (by_span[which] >= other)] = -1
     out, at = [], 0
-    for text, own in zip(texts, places):
+    for text, read, own in zip(texts, reads, places):
         spans = reread = 0
         parts, last = [], 0
-        for k, (a, b, w) in enumerate(own, at):
-            new = None
+        for k, (a, w) in enumerate(own, at):
+            new = []
             if table[k] >= 0:
                 new = words.reread(w, int(table[k]))
                 reread += 1
             elif w in words.spans:
-                new, n, _ = words.spans[w]
-                spans += n
-            if new is not None:
-                parts += [text[last:a], new]
-                last = b
+                new = words.spans[w][0]
+                spans += len(new)
+            for x, y, good in new:
+                parts += [text[last : read.place(a + x)], good]
+                last = read.place(a + y)
         at += len(own)
-        out.append(("".join([*parts, text[last:]]) if parts else text, spans, reread, text.count(chr(LOST)) if own else 0))
+        out.append(("".join([*parts, text[last:]]) if parts else text, spans, reread, read.seen.count(chr(LOST)) if own else 0))
     return out
 
 

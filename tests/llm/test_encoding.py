@@ -67,3 +67,37 @@ def test_table(spark):
     got = {r.key: r for r in encoding.garbled(docs, "doc_id", "text").collect()}
     assert set(got) == {"900", "903", "904"} and got["900"].text == CLEAN[0] and got["903"].lost == 1
     assert encoding.garbled(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def referred(text, form):
+    return "".join(form(c) if ord(c) > 127 else c for c in text)
+
+
+@pytest.mark.parametrize("form", [lambda c: f"&#{ord(c)};", lambda c: f"&#x{ord(c):X};", lambda c: f"&amp;#{ord(c)};", lambda c: c if ord(c) % 2 else f"&#0{ord(c)};"])
+@pytest.mark.parametrize("k, seen", [(0, "cp1252"), (0, "latin-1"), (1, "cp1252"), (3, "cp1250"), (4, "cp1251")])
+def test_references_are_read(form, k, seen, usual):
+    fixed, spans, _, _ = restore("x " + referred(wrong(CLEAN[k], "utf-8", seen), form), usual)
+    assert spans and fixed == "x " + CLEAN[k]
+    assert restore("a &#65533; b", usual)[1:] == (0, 0, 1) and restore("f&#195&#188r", usual)[:2] == ("für", 1)
+
+
+def test_named_references_are_read_and_others_stay(usual):
+    assert restore("f&Atilde;&frac14;nf&nbsp;&lt;b&gt; &AMP; &eacute;l&eacute;ment &amp;lt; ?a&copy=1", usual) == ("fünf&nbsp;&lt;b&gt; &AMP; &eacute;l&eacute;ment &amp;lt; ?a&copy=1", 1, 0, 0)
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_correct_references_stay(text, usual):
+    text = referred(text, lambda c: f"&#{ord(c)};") + " a &#150; b &bogus; &#1114112; &#xD800; &#0; &#" + "9" * 5000
+    assert restore(text, usual) == (text, 0, 0, 0)
+
+
+def test_references_of_a_single_byte_reading(usual):
+    fixed, _, words, _ = restore(referred(wrong(CLEAN[0], "cp1252", "cp850"), lambda c: f"&#{ord(c)};"), usual)
+    assert words and fixed == CLEAN[0]
+
+
+def test_table_with_references(spark):
+    bad = referred(wrong(CLEAN[0], "utf-8", "cp1252"), lambda c: f"&#{ord(c)};")
+    rows = [(k, t) for k, t in enumerate(CLEAN * 30)] + [(900, bad), (901, "a &lt; b")]
+    got = encoding.garbled(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()
+    assert bad.isascii() and [(r.key, r.text) for r in got] == [("900", CLEAN[0])]
