@@ -39,15 +39,15 @@ _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30
 
 _LATEX = [
     re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}"),
-    re.compile(r"(?<!\\)\\\[(?:[^\\]|\\(?!\])){1,2000}?\\\]|(?<!\\)\\\((?:[^\\\n]|\\(?!\))){1,400}?\\\)"),
-    re.compile(r"\$\$[^$]{1,2000}\$\$|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_{}=])[^$\n]{1,200}?(?<=[^\s$\\])\$(?![\w$])"),
+    re.compile(r"(?<!\\)\\\[(?:[^\\]++|(?<=\\)\\(?!\])|\\(?![\[\]]))++\\\]|(?<!\\)\\\((?:[^\\\n]++|(?<=\\)\\(?!\))|\\(?![()]))++\\\)"),
+    re.compile(r"\$\$[^$]++\$\$|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_{}=])[^$\n]++(?<=[^\s$\\])\$(?![\w$])"),
     re.compile(r"(?<![\\\w:])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{"),
     re.compile(r"^[ \t]*\\(?:item|maketitle|tableofcontents|newpage|centering|noindent|hline)\b", re.M),
 ]
 _WIKI = [
     re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.M | re.S),
     re.compile(r"\[\[(?!\s)(?:[^\[\]\n]|\[\[[^\[\]\n]*\]\])+?(?<!\s)\]\]"),
-    re.compile(r"\{\{(?!\s)[^{}\n]+?(?<!\s)\}\}|\{\{(?!\s)[^{}\n|]+\n[ \t]*\|[^{}]{0,4000}?\}\}"),
+    re.compile(r"\{\{(?!\s)[^{}\n]+?(?<!\s)\}\}|\{\{(?!\s)[^{}\n|]+\n[ \t]*\|[^{}]*+\}\}"),
     re.compile(r"^[ \t]*(={2,6})[ \t]*(?=[^=\s])[^\n]*?(?<=[^=\s])[ \t]*\1[ \t]*$", re.M),
     re.compile(r"(?<!')('{5}|'{3}|'{2})(?=[^\s'])[^'\n]+(?:'[^'\n]+)*?(?<=[^\s'])\1(?!')"),
     re.compile(r"(?<![\w\[])\[(?:https?|ftp)://[^\s\]]+(?: [^\]\n]*)?\]"),
@@ -57,7 +57,7 @@ _MARKDOWN = [
     re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]+\S+", re.M),
     re.compile(r"(?<![\w\]])\[[^\[\]\n]+\]\[[^\[\]\n]*\]"),
     re.compile(r"^ {0,3}#{1,6}[ \t]+\S[^\n]*", re.M),
-    re.compile(r"^(?=[^\n]*[^\W_])(?![ \t])[^\n|]{1,120}\n {0,3}(?:={3,}|-{3,})[ \t]*$", re.M),
+    re.compile(r"^(?=[^\n]*[^\W_])(?![ \t])[^\n|]+\n {0,3}(?:={3,}|-{3,})[ \t]*$", re.M),
     re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*$", re.M),
     re.compile(r"^[ \t]*\|[^\n|]+\|(?:[^\n|]+\|)+[ \t]*$", re.M),
     re.compile(r"~~(?=[^\s~])[^~\n]+?(?<=[^\s~])~~"),

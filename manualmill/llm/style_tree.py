@@ -51,7 +51,8 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b([^<>]*)>")
 _ATTRIBUTE = re.compile(r"""\b(class|alt|border)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DROP = re.compile(r"<(script|style|noscript|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!DOCTYPE[^<>]*>", re.I | re.S)
 _PRE = re.compile(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", re.I | re.S)
-_KEPT = re.compile("\x03(\\d+)\x04")
+#: What is kept as it is; code has a mark of its own.
+_KEPT = re.compile("[\x03\x05](\\d+)\x04")
 
 
 def _without_tags(text: str) -> str:
@@ -119,16 +120,18 @@ def _heading(level: int) -> str:
 _WIKI = [
     (re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.M | re.S), _wiki_table),
     (re.compile(r"\[\[(?!\s)((?:[^\[\]\n]|\[\[[^\[\]\n]*\]\])+?)(?<!\s)\]\]"), _link),
-    (re.compile(r"\{\{(?!\s)([^{}]{1,4000}?)\}\}"), _template),
+    (re.compile(r"\{\{(?!\s)([^{}]++)\}\}"), _template),
     (re.compile(r"^[ \t]*(={2,6})[ \t]*(?=[^=\s])([^\n]*?)(?<=[^=\s])[ \t]*\1[ \t]*$", re.M), lambda m: _heading(len(m.group(1))) + m.group(2) + "\n"),
     (re.compile(r"(?<!')('{5}|'{3}|'{2})(?=[^\s'])([^'\n]+(?:'[^'\n]+)*?)(?<=[^\s'])\1(?!')"), lambda m: m.group(2)),
 ]
+# Formulas, what stands around them, their new sign and the group of their body.  No body holds code or a sign of its
+# own formula, so that these are linear in the text, however long a formula is.
 _FORMULA = [
-    (re.compile(r"\\begin\{(equation|align|displaymath|math|gather)\*?\}(.*?)\\end\{\1\*?\}", re.S), lambda m: f"\n\n$${' '.join(m.group(2).split())}$$\n\n"),
-    (re.compile(r"(?<!\\)\\\[((?:[^\\]|\\(?!\])){1,2000}?)\\\]"), lambda m: f"$${' '.join(m.group(1).split())}$$"),
-    (re.compile(r"(?<!\\)\\\(((?:[^\\\n]|\\(?!\))){1,400}?)\\\)"), lambda m: f"${m.group(1).strip()}$"),
+    (re.compile(r"\\begin\{(equation|align|displaymath|math|gather)\*?\}((?:[^\\\x05]++|\\(?!(?:begin|end)\{\1\*?\}))*+)\\end\{\1\*?\}"), "\n\n", "$$", 2),
+    (re.compile(r"(?<!\\)\\\[((?:[^\\\x05]++|(?<=\\)\\(?!\])|\\(?![\[\]]))++)\\\]"), "", "$$", 1),
+    (re.compile(r"(?<!\\)\\\(((?:[^\\\n\x05]++|(?<=\\)\\(?!\))|\\(?![()]))++)\\\)"), "", "$", 1),
 ]
-_IS_FORMULA = re.compile(r"\$\$[^$]{1,2000}\$\$|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_{}=<>])[^$\n]{1,200}?(?<=[^\s$\\])\$(?![\w$])")
+_IS_FORMULA = re.compile(r"\$\$[^$\x05]++\$\$|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_{}=<>])[^$\n\x05]++(?<=[^\s$\\])\$(?![\w$])")
 _LEVEL = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 _LATEX = [
     (re.compile(r"\\(part|chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}\n]*)\}(?:\\label\{[^{}]*\})?"), lambda m: _heading(_LEVEL[m.group(1)]) + m.group(2) + "\n"),
@@ -141,7 +144,7 @@ _MARKDOWN = [
     (re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]+\S+[^\n]*$", re.M), lambda m: ""),
     (re.compile(r"!?\[([^\[\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"\n]*\")?\)"), lambda m: m.group(1)),
     (re.compile(r"(?<![\w\]])\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), lambda m: m.group(1)),
-    (re.compile(r"^(?=[^\n]*[^\W_])(?![ \t#>|\-])([^\n|]{1,120})\n {0,3}(={3,}|-{3,})[ \t]*$", re.M), lambda m: _heading(1 if m.group(2)[0] == "=" else 2) + m.group(1) + "\n"),
+    (re.compile(r"^(?=[^\n]*[^\W_])(?![ \t#>|\-])([^\n|]+)\n {0,3}(={3,}|-{3,})[ \t]*$", re.M), lambda m: _heading(1 if m.group(2)[0] == "=" else 2) + m.group(1) + "\n"),
     (re.compile(r"^( {0,3}#{1,6})[ \t]+([^\n]*?)[ \t]+#+[ \t]*$", re.M), lambda m: f"{m.group(1).strip()} {m.group(2)}"),
     (re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", re.M), lambda m: ""),
     (re.compile(r"~~(?=[^\s~])([^~\n]+?)(?<=[^\s~])~~"), lambda m: m.group(1)),
@@ -158,15 +161,15 @@ _MARKDOWN_SIGNS = (
 
 def plain_form(kind: str | None, text: str) -> str:
     """The text in the plain form; "\\x01path\\x02" marks before a block stay, for the tree."""
-    text = text.replace("\r\n", "\n").replace("\x01", " ").replace("\x02", " ").replace("\x03", " ").replace("\x04", " ")
+    text = text.replace("\r\n", "\n").replace("\x01", " ").replace("\x02", " ").replace("\x03", " ").replace("\x04", " ").replace("\x05", " ")
     kept: list[str] = []
 
-    def keep(body: str) -> str:
-        kept.append(body)
-        return f"\x03{len(kept) - 1}\x04"
+    def keep(body: str, mark: str = "\x03") -> str:
+        kept.append(_KEPT.sub(lambda m: kept[int(m.group(1))], body))
+        return f"{mark}{len(kept) - 1}\x04"
 
     def code(body: str) -> str:
-        return "\n\n" + keep("```\n" + body.strip("\n") + "\n```") + "\n\n"
+        return "\n\n" + keep("```\n" + body.strip("\n") + "\n```", "\x05") + "\n\n"
 
     def fenced(m: re.Match) -> str:
         lines = m.group(0).split("\n")
@@ -184,10 +187,10 @@ def plain_form(kind: str | None, text: str) -> str:
     text = html.unescape(text) if "&" in text else text
     text = text.replace("\f", "\n\n").replace("\n\n---\n\n", "\n\n")
     if "\\" in text:
-        for pattern, turn in _FORMULA:
-            text = pattern.sub(turn, text)
+        for pattern, around, sign, body in _FORMULA:
+            text = pattern.sub(lambda m: around + keep(sign + " ".join(m.group(body).split()) + sign) + around, text)
     if "$" in text:
-        text = _IS_FORMULA.sub(lambda m: keep(m.group(0)), text)
+        text = _IS_FORMULA.sub(lambda m: keep(" ".join(m.group(0).split())), text)
     for sign, rules in (("{|", _WIKI[:1]), ("[[", _WIKI[1:2]), ("{{", _WIKI[2:3]), ("==", _WIKI[3:4]), ("''", _WIKI[4:]), ("\\", _LATEX), *_MARKDOWN_SIGNS):
         if sign in text:
             for pattern, turn in rules:

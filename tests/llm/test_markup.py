@@ -61,3 +61,44 @@ def test_empty_tables_and_clashing_columns(spark):
     site = site_lines.sites(spark.createDataFrame([], "slug string, source_url string, ingested_at string"))
     assert style_tree.cleaned(docs, "slug", "kind", "content", site).count() == 0
     assert residue_table.residues(docs, "slug", "kind", "content").count() == 0
+
+
+SUM = "+".join(f"x_{{{k}}}" for k in range(1000))
+LONG = [
+    ("markdown", f"a ${SUM}$ b", {"latex"}), ("pdf", f"a \\({SUM}\\) b", {"latex"}), ("html", f"\\[{SUM}\\]", {"latex"}), ("pdf", f"$${SUM}$$", {"latex"}), ("pdf", f"\\[ a \\\\[2pt] {SUM} \\]", {"latex"}),
+    ("markdown", "{{Infobox device\n| name = " + "a " * 3000 + "\n}}", {"wiki"}), ("pdf", "word " * 60 + "\n=====\ntext", {"markdown"}),
+]
+
+
+@pytest.mark.parametrize("kind, text, markups", LONG)
+def test_residue_of_any_length(kind, text, markups):
+    assert set(count_constructs(kind, text)) == markups
+
+
+FRACTIONS = " + ".join(rf"\frac{{a_{k}}}{{b_{k}}}" for k in range(300))
+
+
+@pytest.mark.parametrize("sign, text", [
+    ("$$", f"$${FRACTIONS}$$"), ("$", f"${FRACTIONS}$"), ("$$", f"\\[{FRACTIONS}\\]"), ("$", f"\\({FRACTIONS}\\)"), ("$$", f"\\begin{{equation}}\n{FRACTIONS}\n\\end{{equation}}"),
+    ("$$", f"\\begin{{align*}}{FRACTIONS}\\end{{align*}}"), ("$$", "$$\n" + FRACTIONS.replace(" + ", "\n+ ") + "\n$$"),
+])
+def test_formulas_of_any_length_are_kept(sign, text):
+    (_, block), = blocks("pdf", text)
+    assert block.replace(f"{sign} ", sign).replace(f" {sign}", sign) == f"{sign}{FRACTIONS}{sign}"
+    assert len(style_tree._IS_FORMULA.findall(block)) == 1
+
+
+def test_long_templates_and_headings_are_converted():
+    assert blocks("pdf", "{{Box\n| name = " + "a " * 3000 + "\n}}") == [("/li", "- name : " + "a " * 2999 + "a")]
+    assert blocks("pdf", "word " * 60 + "\n=====\n\ntext")[0] == ("/h", "# " + "word " * 59 + "word")
+
+
+def test_no_formula_reaches_over_code():
+    for a, b in (("$$", "$$"), ("\\[", "\\]"), ("\\begin{equation}", "\\end{equation}")):
+        assert ("/code", "```\nx\n  y\n```") in blocks("markdown", f"a {a} b\n\n```\nx\n  y\n```\n\nc {b} d")
+
+
+@pytest.mark.parametrize("sign", ["\\begin{align} ", "\\[ ", "\\( ", "$$ ", "$a ", "{{a ", "{{a\n|", "\\\\[ ", "a\n"])
+def test_unclosed_constructs_take_linear_time(sign):
+    count_constructs("pdf", sign * 200_000)
+    blocks("pdf", sign * 200_000)
