@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +11,20 @@ from ..session import checkpointed
 from .ordering import numbered
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, cap: int, rounds: int = 1000) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
     """(source, node, depth, ord, truncated): what a first-in-first-out crawl of each source visits, in its order.
 
     edges is (source, src, dst, pos), seeds (source, node).  A node is queued once, where it is first seen; of the
     nodes found in one round the order is that of (order of the page, position of the link).  One round is one
     distributed join and a grouped minimum; a round is written to the checkpoint folder, so a lost executor costs
-    that round.  A source stops at cap nodes and is then marked truncated.  NULL nodes are ignored, cycles end.
+    that round.  A source stops at cap nodes and is then marked truncated; nothing else ends it before its last node.
+    NULL nodes are ignored, cycles end.
     """
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("source", "src", "dst", "pos")
     seen = seeds.where("node IS NOT NULL").groupBy("source", "node").agg(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord"))
     seen = checkpointed(_ranked(seen.withColumn("_k", F.struct(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))), None))
     front = seen
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         found = (
             front.select("source", F.col("node").alias("src"), "ord")
             .join(edges, ["source", "src"])
@@ -47,14 +50,42 @@ def _ranked(rows: DataFrame, last: str | None) -> DataFrame:
 
 
 def chain(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
-    """The walk along links of which a page has one (the first by pos): a crawl of out-degree 1, safe on cycles."""
-    one = edges.groupBy("source", "src").agg(F.min(F.struct("pos", "dst")).alias("m"))
-    return crawl(one.select("source", "src", F.col("m.dst").alias("dst"), F.col("m.pos").alias("pos")), seeds, cap)
+    """The rows of crawl() along links of which a page has one (the first by pos), safe on cycles.
+
+    Pages reached and links are doubled: after n rounds the first 2^n pages of a walk are known and each link spans
+    2^n pages, so the rounds are logarithmic in the walk, not one for each page.  As crawl() does, several seeds of a
+    source are walked side by side, and of a page that several reach the nearest seed counts (then the smaller one).
+    """
+    one = edges.groupBy("source", "src").agg(F.min(F.struct("pos", "dst")).alias("m")).select("source", "src", F.col("m.dst").alias("dst"))
+    jump = checkpointed(one.where("src IS NOT NULL AND dst IS NOT NULL"))
+    start = seeds.where("node IS NOT NULL").select("source", "node").distinct()
+    seen = checkpointed(start.select("source", "node", F.struct(F.lit(0).cast("bigint").alias("depth"), F.col("node").alias("seed")).alias("_w")))
+    known = seen.count()
+    for n in count():
+        far = seen.where(F.col("_w.depth") <= cap).withColumnRenamed("node", "src").join(jump, ["source", "src"])
+        far = far.select("source", F.col("dst").alias("node"), F.struct((F.col("_w.depth") + (1 << n)).alias("depth"), F.col("_w.seed").alias("seed")).alias("_w"))
+        # A source shows no page beyond its cap; one more tells that the cap was hit.
+        far = far.where(F.col("_w.depth") <= cap)
+        seen = checkpointed(seen.unionByName(far).groupBy("source", "node").agg(F.min("_w").alias("_w")))
+        now = seen.count()
+        if now == known:
+            break
+        known = now
+        further = jump.select("source", F.col("src").alias("dst"), F.col("dst").alias("_to"))
+        jump = checkpointed(jump.join(further, ["source", "dst"]).select("source", "src", F.col("_to").alias("dst")))
+    rows = seen.select("source", "node", F.col("_w.depth").cast("int").alias("depth"), F.col("_w.seed").alias("_seed"))
+    rows = numbered(rows, ["source"], ["depth", "_seed", "node"]).where(F.col("ord") <= cap)
+    cut = rows.groupBy("source").agg((F.max("ord") >= cap).alias("truncated"))
+    return rows.where(F.col("ord") < cap).join(cut, "source").select("source", "node", "depth", "ord", "truncated")
 
 
 def chain_from_head(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
-    """Walk against the links to the head of the chain first, then along them from there."""
+    """Walk against the links to the head of the chain first, by at most cap links, then along them from there.
+
+    A source whose head is farther away than that is truncated, too.
+    """
     back = edges.select("source", F.col("dst").alias("src"), F.col("src").alias("dst"), "pos")
-    walked = chain(back, seeds, cap)
-    head = walked.groupBy("source").agg(F.max(F.struct("ord", "node")).alias("m")).select("source", F.col("m.node").alias("node"))
-    return chain(edges, head, cap)
+    walked = chain(back, seeds, cap + 1)
+    ends = checkpointed(walked.groupBy("source").agg(F.max(F.struct("ord", "node")).alias("m"), F.max("truncated").alias("_cut")))
+    out = chain(edges, ends.select("source", F.col("m.node").alias("node")), cap)
+    return out.join(ends.select("source", "_cut"), "source").withColumn("truncated", F.col("truncated") | F.col("_cut")).drop("_cut")

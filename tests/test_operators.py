@@ -85,6 +85,24 @@ def test_crawl_order_cap_and_cycles(spark):
     assert frontier.crawl(edges.limit(0), seeds, 5).count() == 2 and frontier.crawl(edges, seeds.limit(0), 5).count() == 0
 
 
+def test_long_chain_is_walked_whole(spark):
+    edges = spark.range(1499).selectExpr("'s' source", "id src", "id + 1 dst", "0 pos")
+    seeds = spark.createDataFrame([("s", 1200)], "source string, node bigint")
+    assert rows(frontier.chain_from_head(edges, seeds, 1500), "ord", "node", "depth", "truncated") == [(k, k, k, False) for k in range(1500)]
+    # The head is 1,200 links away; 1,199 are not enough to find it, and the rest is within the cap.
+    short = edges.where("src < 1210")
+    assert rows(frontier.chain_from_head(short, seeds, 1199), "ord", "node", "truncated")[0] == (0, 1, True)
+
+
+@pytest.mark.parametrize("cap", [1, 3, 7, 100])
+def test_chain_is_a_crawl_of_one_link_a_page(spark, cap):
+    links = [("s", k, (k * 7 + 3) % 23, 0) for k in range(19)] + [("s", k, k, 1) for k in range(5)] + [("t", k, k + 1, 0) for k in range(12)] + [("t", 12, None, 0), ("u", 1, 1, 0)]
+    edges = spark.createDataFrame(links, "source string, src int, dst int, pos int")
+    seeds = spark.createDataFrame([("s", 4), ("s", 9), ("s", 4), ("t", 5), ("t", 0), ("u", 1), ("v", 1), ("s", None)], "source string, node int")
+    columns = ("source", "ord", "node", "depth", "truncated")
+    assert rows(frontier.chain(edges, seeds, cap), *columns) == rows(frontier.crawl(edges.where("pos = 0"), seeds, cap), *columns)
+
+
 def test_take_while(spark):
     df = spark.createDataFrame([("p", 1, 200), ("p", 2, 200), ("p", 3, 404), ("p", 4, 200), ("q", 1, None), ("r", 1, 200)], "s string, n int, status int")
     assert rows(ordering.take_while(df, ["s"], "n", F.col("status") == 200), "s", "n") == [("p", 1), ("p", 2), ("r", 1)]
