@@ -265,12 +265,12 @@ def _leaf_batches(rules: TreeRules):
 
 
 def unimportant(docs: DataFrame, key: str, kind: str, text: str, site: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
-    """(key, leaf): the leaves of each document that its site's style tree finds unimportant."""
+    """(key, path, leaf): the leaves of each document, with their nodes, that its site's style tree finds unimportant."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(text).alias("text"))
     rows = own.where("key IS NOT NULL AND text IS NOT NULL").mapInArrow(_leaf_batches(rules), "key string, path long, leaf long, style long")
     rows = rows.join(site.where("site IS NOT NULL").withColumnRenamed("slug", "key"), "key")
-    rows = checkpointed(rows.select("key", F.xxhash64("site", "path").alias("node"), "leaf", "style").distinct())
+    rows = checkpointed(rows.select("key", F.xxhash64("site", "path").alias("node"), "path", "leaf", "style").distinct())
     pages = rows.select("node", "key").distinct().groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") >= rules.least_pages)
     styles = rows.groupBy("node", "style").agg(F.count("*").alias("s"))
     total = styles.groupBy("node").agg(F.sum("s").alias("t"), F.sum(F.col("s") * F.log("s")).alias("slogs"))
@@ -280,7 +280,7 @@ def unimportant(docs: DataFrame, key: str, kind: str, text: str, site: DataFrame
     content = 1 - F.log("n") / F.log("m")
     importance = (1 - rules.presentation) * content + rules.presentation * F.least(F.lit(1.0), F.col("look"))
     low = leaf.join(node, "node").where(importance < rules.importance).select("node", "leaf")
-    return rows.join(low, ["node", "leaf"]).select("key", "leaf").distinct()
+    return rows.join(low, ["node", "leaf"]).select("key", "path", "leaf").distinct()
 
 
 CLEAN = "key string, text string, headings int, list_items int, table_rows int, code_blocks int, formulas int, removed int"
@@ -295,9 +295,9 @@ def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if text is None:
                 rows.append((key, None, 0, 0, 0, 0, 0, 0))
                 continue
-            drop = set(gone or ())
+            drop = {(g["path"], g["leaf"]) for g in gone or ()}
             tree = blocks(kind, text)
-            left = [(p, b) for p, b in tree if not drop or signed(digest(_leaf(b))) not in drop]
+            left = [(p, b) for p, b in tree if not drop or (signed(digest(p)), signed(digest(_leaf(b)))) not in drop]
             count = {s: sum(p.endswith(f"/{s}") for p, _ in left) for s in ("h", "li", "row", "code")}
             out = ""
             for k, (p, b) in enumerate(left):
@@ -316,6 +316,6 @@ def cleaned(docs: DataFrame, key: str, kind: str, text: str, site: DataFrame, ru
     NULL texts stay NULL, empty ones empty.  Documents of unknown kind are read as Markdown; documents without a site
     are converted and keep all their blocks; a row given twice counts once.
     """
-    gone = unimportant(docs, key, kind, text, site, rules).groupBy("key").agg(F.collect_set("leaf").alias("gone"))
+    gone = unimportant(docs, key, kind, text, site, rules).groupBy("key").agg(F.collect_set(F.struct("path", "leaf")).alias("gone"))
     own = docs.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(text).alias("text")).dropDuplicates(["key", "kind", "text"])
     return own.join(gone, "key", "left").mapInArrow(_clean_batches, CLEAN)

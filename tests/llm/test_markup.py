@@ -56,6 +56,13 @@ def test_unimportant_branches_go(spark):
     assert out["alone"].text == "Same footer on every page here" and out["null"].text is None and out["empty"].text == ""
 
 
+def test_only_the_unimportant_place_of_a_leaf_goes(spark):
+    docs = [(f"s{k}", "html", f"<h2>{'Getting started guide' if k == 3 else f'The chapter of manual {k}'}</h2><p>Text of {k} and no other</p><footer>Getting started guide</footer>") for k in range(12)]
+    site = site_lines.sites(spark.createDataFrame([(d[0], "https://a.example/", "x") for d in docs], "slug string, source_url string, ingested_at string"))
+    out = {r.key: r for r in style_tree.cleaned(spark.createDataFrame(docs, "slug string, kind string, content string"), "slug", "kind", "content", site).collect()}
+    assert out["s3"].text == "## Getting started guide\n\nText of 3 and no other" and {r.removed for r in out.values()} == {1}
+
+
 def test_empty_tables_and_clashing_columns(spark):
     docs = spark.createDataFrame([], "slug string, kind string, content string, key int, text int, site int, leaf int, gone int")
     site = site_lines.sites(spark.createDataFrame([], "slug string, source_url string, ingested_at string"))
