@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.incremental import changed_slugs
-from ..session import table
+from ..operators.incremental import ChangeFeed
+from ..session import scratch, table
 from . import corpus_queries, page_queries, source_queries, url_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each successful run the slugs it must process."""
-    return changed_slugs(table(spark, sf_dir, "manifest_log"), table(spark, sf_dir, "refresh_runs")).select("run_id", "slug")
+    """For each successful run the slugs it must process: what the job commits that catches up with all runs."""
+    feed = ChangeFeed(spark, scratch(spark, "p2"))
+    feed.catch_up(table(spark, sf_dir, "manifest_log"), table(spark, sf_dir, "refresh_runs"))
+    return feed.changes().select("run_id", "slug")
 
 
 _P2 = r"""

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from manualmill.operators.incremental import IncrementalJob, changed_slugs, clean_etag, instant
+from manualmill.operators.incremental import ChangeFeed, IncrementalJob, changed_slugs, clean_etag, instant
 
 LOG = "rec_id bigint, slug string, etag string, last_modified string, sha256 string, ingested_at string, arrived_at timestamp"
 RUNS = "run_id int, started_at timestamp, status string"
@@ -70,8 +70,69 @@ def test_nulls_ties_and_empty_tables(spark):
     assert changed_slugs(frame.limit(0), when).count() == 0 and changed_slugs(frame, when.limit(0)).count() == 0
     clash = frame.withColumns({"n": F.lit(1), "r": F.lit(2), "now": F.lit(3), "prev": F.lit(4), "run_id": F.lit(5)})
     assert changed_slugs(clash, when).count() == 1
-    with pytest.raises(ValueError):
-        changed_slugs(frame, spark.createDataFrame([(k, T0 + timedelta(hours=k), "ok") for k in range(5)], RUNS), most_runs=4)
+    many = spark.createDataFrame([(k, T0 + timedelta(minutes=k), "ok") for k in range(30_000)], RUNS)
+    assert [tuple(r) for r in changed_slugs(frame, many).collect()] == [(0, "t", 3)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_feed_run_by_run_and_all_at_once(spark, tmp_path, seed):
+    log, runs = data(seed)
+    frame = spark.createDataFrame(log, LOG)
+    at_once = ChangeFeed(spark, str(tmp_path / "once"))
+    assert at_once.catch_up(frame, spark.createDataFrame(runs, RUNS)) is not None
+    assert at_once.catch_up(frame, spark.createDataFrame(runs, RUNS)) is None
+    step = ChangeFeed(spark, str(tmp_path / "steps"))
+    for k in range(3, len(runs) + 3, 3):
+        known = sorted(runs, key=lambda r: r[1])[:k]
+        seen = max(r[1] for r in known)
+        # What arrives after the last known run is not in the log yet.
+        step.catch_up(spark.createDataFrame([r for r in log if r[6] <= seen], LOG), spark.createDataFrame(known, RUNS))
+    want = brute(log, runs)
+    for feed in (at_once, step):
+        got = [(r.run_id, r.slug) for r in feed.changes().collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_feed_survives_a_lost_run(spark, tmp_path, monkeypatch):
+    log, runs = data(7)
+    frame, all_runs = spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUNS)
+    feed = ChangeFeed(spark, str(tmp_path / "feed"))
+    assert feed.changes().count() == 0
+    half = sorted(runs, key=lambda r: r[1])[:6]
+    feed.catch_up(frame, spark.createDataFrame(half, RUNS))
+    before = feed.changes().count()
+
+    def lost(self, commit):
+        raise RuntimeError("driver lost before the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(IncrementalJob, "_publish", lost)
+        with pytest.raises(RuntimeError):
+            feed.catch_up(frame, all_runs)
+    assert feed.changes().count() == before  # the output without a commit is never read
+    ChangeFeed(spark, str(tmp_path / "feed")).catch_up(frame, all_runs)
+    assert {(r.run_id, r.slug) for r in feed.changes().collect()} == brute(log, runs)
+
+
+def test_watermark_in_any_time_zone(spark, tmp_path):
+    """Neither another session time zone nor the repeated hour of autumn skips or repeats a row."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    log = spark.range(240).select("id", F.timestamp_micros(F.lit(1_762_056_000_000_000) + F.col("id") * 60_000_000).alias("seq"))  # across 2025-11-02 06:00 UTC
+    try:
+        for kind in ("timestamp", "timestamp_ntz"):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            rows = log.withColumn("seq", F.col("seq").cast(kind))
+            rows.write.parquet(str(tmp_path / kind))
+            job, done = IncrementalJob(spark, str(tmp_path / f"job-{kind}"), "seq"), 0
+            for k, tz in enumerate(("UTC", "America/New_York", "Asia/Tokyo", "America/New_York", "UTC")):
+                spark.conf.set("spark.sql.session.timeZone", tz)
+                job.run(spark.read.parquet(str(tmp_path / kind)).where(F.col("id") < 48 * (k + 1)), lambda d: d)
+                got = sorted(r.id for r in job.output().select("id").collect())
+                assert got == list(range(48 * (k + 1))), (kind, tz)
+            with pytest.raises(ValueError):
+                job.run(spark.range(1).withColumnRenamed("id", "seq"), lambda d: d)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_notations(spark):
