@@ -33,28 +33,62 @@ class Node:
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def text(self) -> str:
-        if self.name in ("script", "style", "#comment"):
-            return ""
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(part for part in self._pieces(False))
 
     def remove(self) -> None:
         if self.parent is not None:
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
+    def replace(self, other: Node) -> None:
+        """Put other, wherever it stood, in the place of this node."""
+        home = self.parent
+        if home is None:
+            return
+        other.remove()
+        home.children = [other if c is self else c for c in home.children]
+        self.parent, other.parent = None, home
+
+    def _pieces(self, markup: bool, shell: bool = False) -> Iterator[str]:
+        """The parts of the text, or of the markup, of what the node holds (with shell: and of itself), in order.
+
+        Without recursion, so the depth of a page does not matter.
+        """
+        stack: list[Node | str | tuple[str]] = [self] if shell else list(reversed(self.children))
+        raw = not shell and self.name in ("script", "style")
+        if not markup and self.name in ("script", "style", "#comment"):
+            return
+        while stack:
+            item = stack.pop()
+            if isinstance(item, tuple):  # an end tag
+                yield item[0]
+            elif isinstance(item, str):
+                yield html.escape(item, quote=False) if markup and not raw else item
+            elif not markup:
+                if item.name not in ("script", "style", "#comment"):
+                    stack += reversed(item.children)
+            elif item.name in ("#comment", "#decl"):
+                body = "".join(c for c in item.children if isinstance(c, str))
+                yield f"<!--{body}-->" if item.name == "#comment" else f"<!{body}>"
+            elif item.name == "#document":
+                stack += reversed(item.children)
+            else:
+                attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in item.attrs.items())
+                if item.name in VOID:
+                    yield f"<{item.name}{attrs}/>"
+                    continue
+                yield f"<{item.name}{attrs}>"
+                stack.append((f"</{item.name}>",))
+                if item.name in ("script", "style"):
+                    stack += [(c,) for c in reversed(item.children) if isinstance(c, str)]
+                else:
+                    stack += reversed(item.children)
+
     def inner(self) -> str:
-        if self.name in ("script", "style"):
-            return "".join(c for c in self.children if isinstance(c, str))
-        return "".join(html.escape(c, quote=False) if isinstance(c, str) else c.outer() for c in self.children)
+        return "".join(self._pieces(True))
 
     def outer(self) -> str:
-        if self.name == "#document":
-            return self.inner()
-        if self.name in ("#comment", "#decl"):
-            body = "".join(c for c in self.children if isinstance(c, str))
-            return f"<!--{body}-->" if self.name == "#comment" else f"<!{body}>"
-        attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.name}{attrs}/>" if self.name in VOID else f"<{self.name}{attrs}>{self.inner()}</{self.name}>"
+        return "".join(self._pieces(True, shell=True))
 
 
 class _Builder(HTMLParser):

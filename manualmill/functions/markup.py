@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Media of picture sources that no reader shows; attributes that carry image references by rank.
-DEAD_MEDIA = ("print", "speech", "not all")
-REFERENCE_RANKS = ("src", "data-src", "data-lazy-src", "data-original", "srcset", "data-srcset", "source srcset", "source data-srcset")
-
 # Patterns of index banners, agent footers, image references and headings.
 BANNER = r"(?m)^(?:> ## Documentation Index[^\n]*\n(?:>[^\n]*\n?)*|> For the complete documentation index[^\n]*\n)\n*"
 FOOTER = r"\n#{1,6}\s+Agent Instructions(?::\s+Querying This Documentation)?\s*\n"
@@ -86,26 +82,26 @@ def strip_agent_footer(md: Column) -> Column:
 
 
 def declared_width(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"[?&](?:wid|width|w)=(\d+)", 1).try_cast("bigint"), F.lit(0))
+    return F.coalesce(F.regexp_extract(url, r"(?i)[?&](?:wid|width|w)=(\d+)", 1).try_cast("bigint"), F.lit(0))
 
 
 def srcset_candidates(srcset: Column, rank: int) -> Column:
-    """Array of (width, density, -rank, url) of a srcset; nothing of one that holds inline data."""
-    parts = F.filter(F.transform(F.split(srcset, ","), lambda p: F.trim(p)), lambda p: p != "")
+    """Array of (width, density, -rank, url) of a srcset; nothing of one that is inline data, nor of its parts that are."""
+    parts = F.filter(F.transform(F.split(srcset, ","), lambda p: F.trim(p)), lambda p: (p != "") & ~p.startswith("data:"))
 
     def one(part: Column) -> Column:
         url = F.regexp_extract(part, r"^(\S+)", 1)
-        width = F.regexp_extract(part, r"\s(\d+)w$", 1).try_cast("bigint")
-        density = F.regexp_extract(part, r"\s(\d+(?:\.\d+)?)x$", 1).try_cast("double")
+        width = F.nullif(F.regexp_extract(part, r"^\S+(?:\s.*)?\s(\d+)w(?:\s|$)", 1).try_cast("bigint"), F.lit(0))
+        density = F.regexp_extract(part, r"^\S+(?:\s.*)?\s(\d*\.?\d+)x(?:\s|$)", 1).try_cast("double")
         return F.struct(
             F.coalesce(width, declared_width(url)).alias("width"),
-            F.coalesce(density, F.lit(1.0)).alias("density"),
+            F.coalesce(density, F.lit(0.0)).alias("density"),
             F.lit(-rank).alias("rank"),
             url.alias("url"),
         )
 
     empty = F.array().cast("array<struct<width:bigint,density:double,rank:int,url:string>>")
-    return F.when(srcset.contains("data:") | srcset.isNull(), empty).otherwise(F.transform(parts, one))
+    return F.when(srcset.startswith("data:") | srcset.isNull(), empty).otherwise(F.transform(parts, one))
 
 
 def best_candidate(candidates: Column) -> Column:

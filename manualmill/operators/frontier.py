@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -11,42 +12,57 @@ from ..session import checkpointed
 from .ordering import numbered
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
+#: Rows of a round up to this number are broadcast (some 200 bytes each), so that links and visited nodes stay where they
+#: are; larger rounds are joined by shuffle.
+BROADCAST_ROUND = 100_000
+#: Rounds that are kept as tables of their own before they are written together.
+ROUNDS_APART = 32
+
+
+def crawl(edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
     """(source, node, depth, ord, truncated): what a first-in-first-out crawl of each source visits, in its order.
 
     edges is (source, src, dst, pos), seeds (source, node).  A node is queued once, where it is first seen; of the
-    nodes found in one round the order is that of (order of the page, position of the link).  One round is one
-    distributed join and a grouped minimum; a round is written to the checkpoint folder, so a lost executor costs
-    that round.  A source stops at cap nodes and is then marked truncated; nothing else ends it before its last node.
-    NULL nodes are ignored, cycles end.
+    nodes found in one round the order is that of (order of the page, position of the link).  A round joins the links
+    with the nodes of the round before, is written to the checkpoint folder and only appended to, so a lost
+    executor costs that round and nothing is written twice but for the merging of every 32 rounds.
+    A source stops at cap nodes and is then marked truncated; nothing else ends it before its last node.  NULL nodes
+    are ignored, cycles end.
     """
-    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("source", "src", "dst", "pos")
-    seen = seeds.where("node IS NOT NULL").groupBy("source", "node").agg(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord"))
-    seen = checkpointed(_ranked(seen.withColumn("_k", F.struct(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))), None))
-    front = seen
+    edges = checkpointed(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("source", "src", "dst", F.col("pos").cast("bigint").alias("pos")))
+    first = seeds.where("node IS NOT NULL").groupBy("source", "node").agg(F.lit(0).cast("bigint").alias("_a"), F.lit(0).cast("bigint").alias("_b"))
+    front = checkpointed(_round(first.withColumn("_base", F.lit(0).cast("bigint")), 0))
+    rounds, n = [front], front.count()
     for depth in count(1):
-        found = (
-            front.select("source", F.col("node").alias("src"), "ord")
-            .join(edges, ["source", "src"])
-            .groupBy("source", F.col("dst").alias("node"))
-            .agg(F.min(F.struct("ord", F.col("pos").cast("bigint").alias("pos"))).alias("_k"))
-        )
-        fresh = found.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        done = seen.groupBy("source").agg(F.max("ord").alias("_last"))
-        ranked = _ranked(fresh.withColumn("depth", F.lit(depth)).join(done, "source"), "_last")
-        front = checkpointed(ranked.where(F.col("ord") < cap + 1))  # one more tells that the cap was hit
-        if front.isEmpty():
+        going = front if cap is None else front.where(F.col("ord") < cap)
+        near = (F.broadcast(going) if n <= BROADCAST_ROUND else going).select("source", F.col("node").alias("src"), "ord", "_next")
+        found = edges.join(near, ["source", "src"]).groupBy("source", F.col("dst").alias("node"))
+        found = checkpointed(found.agg(F.min(F.struct("ord", "pos")).alias("_k"), F.max("_next").alias("_base")))
+        n = found.count()
+        seen = reduce(DataFrame.unionByName, [r.select("source", "node") for r in rounds])
+        if n <= BROADCAST_ROUND:  # of the visited nodes only those that were found again are needed
+            seen = F.broadcast(checkpointed(seen.join(F.broadcast(found.select("source", "node")), ["source", "node"], "left_semi")))
+        fresh = found.join(seen, ["source", "node"], "left_anti")
+        front = checkpointed(_round(fresh.select("source", "node", F.col("_k.ord").alias("_a"), F.col("_k.pos").alias("_b"), "_base"), depth))
+        n = front.count()
+        if not n:
             break
-        seen = checkpointed(seen.unionByName(front))
-        front = front.where(F.col("ord") < cap)
-    cut = seen.groupBy("source").agg((F.max("ord") >= cap).alias("truncated"))
-    return seen.where(F.col("ord") < cap).join(cut, "source").select("source", "node", "depth", "ord", "truncated")
+        rounds.append(front)
+        if len(rounds) > ROUNDS_APART:
+            rounds = [checkpointed(reduce(DataFrame.unionByName, rounds))]
+    out = reduce(DataFrame.unionByName, rounds).select("source", "node", "depth", "ord")
+    if cap is None:
+        return out.withColumn("truncated", F.lit(False))
+    cut = out.groupBy("source").agg((F.max("ord") >= cap).alias("truncated"))
+    return out.where(F.col("ord") < cap).join(cut, "source").select("source", "node", "depth", "ord", "truncated")
 
 
-def _ranked(rows: DataFrame, last: str | None) -> DataFrame:
-    out = numbered(checkpointed(rows), ["source"], ["_k", "node"], "_n")
-    start = F.col(last) if last else F.lit(-1)
-    return out.withColumn("ord", (start + 1 + F.col("_n")).cast("bigint")).select("source", "node", "depth", "ord")
+def _round(rows: DataFrame, depth: int) -> DataFrame:
+    """(source, node, depth, ord, _next): the nodes of one round in their order, after the _base nodes of their source."""
+    rows = checkpointed(rows)
+    size = rows.groupBy("source").agg((F.count("*") + F.max("_base")).alias("_next"))
+    placed = numbered(rows, ["source"], ["_a", "_b", "node"], "_n").join(size, "source")
+    return placed.select("source", "node", F.lit(depth).alias("depth"), (F.col("_base") + F.col("_n")).alias("ord"), "_next")
 
 
 def chain(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:

@@ -119,7 +119,8 @@ def probe(body: Column, search_index: Column | None = None, llms: Column | None
         docs = F.get_json_object(search_index, "$.docs")
         out = out.when(docs.startswith("["), "mkdocs")
     if llms is not None:
-        out = out.when(F.size(F.regexp_extract_all(llms, F.lit(r"(https?://[^\s)]+\.md)"), F.lit(1))) > 0, "llms_txt")
+        pages = F.filter(F.regexp_extract_all(llms, F.lit(r"(https?://[^\s)]+\.md)"), F.lit(1)), lambda u: urls.path(u).endswith(".md"))
+        out = out.when(F.size(pages) > 0, "llms_txt")
     return out
 
 

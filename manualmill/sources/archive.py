@@ -20,32 +20,55 @@ PAGES = (".html", ".htm")
 SCHEMA = "source string, member string, ext string, text string, error string"
 
 
-def _members(data: bytes) -> Iterator[tuple[str, bytes]]:
+#: Bytes that the texts of one archive may have together when unpacked.
+MOST_BYTES = 1 << 28
+
+
+def _suffix(name: str) -> str:
+    dot = re.search(r"\.[A-Za-z0-9]+$", name)
+    return dot.group(0).lower() if dot else ""
+
+
+def _wanted(name: str) -> bool:
+    return _suffix(name) in (*TEXTS, *PAGES, ".opf") and not name.startswith("/") and ".." not in name.split("/")
+
+
+def _members(data: bytes, most: int) -> Iterator[tuple[str, bytes]]:
+    """Names and bodies of the members that are wanted; stops with an error once they hold more than most bytes."""
+
+    def bounded(stream) -> bytes:
+        nonlocal most
+        body = stream.read(most + 1)
+        most -= len(body)
+        if most < 0:
+            raise OSError("too large")
+        return body
+
     if zipfile.is_zipfile(io.BytesIO(data)):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
-                if not info.is_dir():
-                    yield info.filename, z.read(info)
+                if not info.is_dir() and _wanted(info.filename):
+                    with z.open(info) as f:
+                        yield info.filename, bounded(f)
     else:
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for info in t:
-                if info.isfile() and (f := t.extractfile(info)):
-                    yield info.name, f.read()
+                if info.isfile() and _wanted(info.name) and (f := t.extractfile(info)):
+                    yield info.name, bounded(f)
+
+
+def _rows(source: str, data: bytes | None, most: int) -> list[tuple]:
+    """The rows of one archive; one with the error of an archive that can't be read (broken, encrypted, too large)."""
+    try:
+        return [(source, n, _suffix(n), body.decode("utf-8", "replace"), None) for n, body in _members(bytes(data or b""), most)]
+    except Exception as e:  # whatever is wrong with one archive must not end the others
+        return [(source, None, None, None, "too large" if str(e) == "too large" else type(e).__name__)]
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for source, data in zip(pdf["source"], pdf["data"]):
-            rows = []
-            try:
-                for name, body in _members(bytes(data or b"")):
-                    dot = re.search(r"\.[A-Za-z0-9]+$", name)
-                    ext = dot.group(0).lower() if dot else ""
-                    if ext in (*TEXTS, *PAGES, ".opf") and not name.startswith("/") and ".." not in name.split("/"):
-                        rows.append((source, name, ext, body.decode("utf-8", "replace"), None))
-            except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as e:
-                rows = [(source, None, None, None, type(e).__name__)]
-            yield pd.DataFrame(rows, columns=["source", "member", "ext", "text", "error"])
+            yield pd.DataFrame(_rows(source, data, MOST_BYTES), columns=["source", "member", "ext", "text", "error"])
 
 
 def members(files: DataFrame) -> DataFrame:

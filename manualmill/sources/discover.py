@@ -43,6 +43,11 @@ def sitemap_locs(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
     return _exploded(df, locs, keys).where("url <> ''")
 
 
+def sitemap_kind(body: Column) -> Column:
+    """index, urlset or NULL: what a body is."""
+    return F.when(body.rlike(r"(?i)<sitemapindex[\s>]"), "index").when(body.rlike(r"(?i)<urlset[\s>]"), "urlset")
+
+
 def docusaurus_pages(df: DataFrame, body: str, base: Column, keys: list[str]) -> DataFrame:
     """Sitemap pages under the base that belong to no other version."""
     out = sitemap_locs(df.withColumn("_base", base), body, [*keys, "_base"])
@@ -171,26 +176,29 @@ def zendesk_articles(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
 _TREE_SCHEMA = "array<struct<ord:int,depth:int,kind:string,text:string,href:string>>"
 
 
-def _balanced(text: str, start: int) -> str | None:
-    """The JSON array that begins at or after start, by its brackets outside of strings."""
-    at = text.find("[", start)
-    if at < 0:
-        return None
+def _first_array(text: str | None) -> list:
+    """The first JSON array in a script; empty if there is none that can be read."""
+    at = text.find("[") if isinstance(text, str) else -1
     try:
-        return text[at : at + json.JSONDecoder().raw_decode(text[at:])[1]]
-    except ValueError:
-        return None
-
-
-def _flatten(nodes: list, depth: int, out: list) -> None:
-    for n in nodes:
-        if not isinstance(n, dict):
+        return json.JSONDecoder().raw_decode(text[at:])[0] if at >= 0 else []
+    except (ValueError, RecursionError):
+        return []
+
+
+def _topic_rows(text: str | None) -> list[dict]:
+    """Topics depth first, without recursion."""
+    out: list[dict] = []
+    stack = [(n, 1) for n in reversed(_first_array(text))]
+    while stack:
+        node, depth = stack.pop()
+        if not isinstance(node, dict):
             continue
-        inner = n.get("nodes")
+        inner = node.get("nodes")
         branch = isinstance(inner, list)
-        out.append((len(out), depth, "branch" if branch else "leaf", html.unescape(str(n.get("text") or "")), str(n.get("href") or "")))
-        if branch:
-            _flatten(inner, depth + 1, out)
+        name, href = html.unescape(str(node.get("text") or "")), str(node.get("href") or "")
+        out.append({"ord": len(out), "depth": depth, "kind": "branch" if branch else "leaf", "text": name, "href": href})
+        stack += [(n, depth + 1) for n in reversed(inner)] if branch else []
+    return out
 
 
 def topic_tree(script: Column | str) -> Column:
@@ -199,13 +207,6 @@ def topic_tree(script: Column | str) -> Column:
     @F.pandas_udf(_TREE_SCHEMA)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            rows = []
-            for text in texts:
-                found: list = []
-                body = _balanced(text, 0) if isinstance(text, str) else None
-                if body:
-                    _flatten(json.loads(body), 1, found)
-                rows.append([dict(zip(("ord", "depth", "kind", "text", "href"), r)) for r in found])
-            yield pd.Series(rows, dtype=object)
+            yield pd.Series([_topic_rows(t) for t in texts], dtype=object)
 
     return run(script)

@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom, markup, urls
@@ -83,11 +82,17 @@ def is_pdf(data: Column) -> Column:
 
 
 def support_article(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """pages with title and body of a support article; shells without a title and with little text are dropped, not lost."""
+    """pages with title and body of a support article; shells without a title and with little text are dropped, not lost.
+
+    A page without an article has a NULL body, which is lost; a title that is missing is made from the address.
+    """
     out = pages.withColumn("body", extract_column(F.col(html), F.col(url), "microsoft_support"))
     h1 = F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
     out = out.withColumn("title", markup.unescape_basic(markup.visible_text(h1)))
-    return out.where(~((F.col("title") == "") & (F.length("body") < SHORTEST_BODY)))
+    out = out.where(~F.coalesce((F.col("title") == "") & (F.length("body") < SHORTEST_BODY), F.lit(False)))
+    name = F.replace(urls.last_segment(F.col(url)), F.lit("-"), F.lit(" "))
+    made = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1 << 20)))
+    return out.withColumn("title", F.when(F.col("body").isNotNull() & (F.col("title") == ""), made).otherwise(F.col("title")))
 
 
 def folded_slug(text: Column) -> Column:
@@ -107,8 +112,9 @@ def folded_slug(text: Column) -> Column:
 def unaliased(pages: DataFrame, by: list[str], order: str, body: str) -> DataFrame:
     """Of pages of one source with the same content the first; the others are aliases, neither saved nor lost."""
     hashed = pages.withColumn("_sha", F.sha2(body, 256))
-    w = Window.partitionBy(*by, "_sha").orderBy(order)
-    return hashed.withColumn("_n", F.row_number().over(w)).where("_n = 1 OR _sha IS NULL").drop("_n", "_sha")
+    # A grouped minimum, so a content that a third of the pages share is in no single task.
+    first = hashed.where("_sha IS NOT NULL").groupBy(*by, "_sha").agg(F.min(order).alias("_first"))
+    return hashed.join(first, [*by, "_sha"], "left").where(F.col("_sha").isNull() | (F.col(order) == F.col("_first"))).select(*pages.columns)
 
 
 def _topics(text: str | None) -> list[dict]:
@@ -154,39 +160,50 @@ def contents_tree(html: Column) -> Column:
     return run(html)
 
 
-def proxied_images(html: str | None) -> list[str]:
+def proxied_images(html: Column) -> Column:
     """Content images of a rendered page, decoded once, in order; sizes and tokens make no second image."""
-    out: dict[str, str] = {}
-    for encoded in re.findall(IMAGE_PROXY, html or ""):
-        full = unquote(encoded)
-        if "%2Ficon%2F" not in full and re.search(r"(?:assets|uploads)%2F", full):
-            out.setdefault(full.split("?")[0], full)
-    return list(out.values())
-
-
-def with_images(md: str, images: list[str], origin: str) -> str:
-    """File references replaced by images: by the image whose URL holds the id, the rest by the remaining images in order."""
-    ids = [r.rpartition("/")[2] for r in re.findall(FILE_REFERENCE, md)]
-    free = list(images)
-    match: dict[str, str] = {}
-    for i in ids:
-        hit = next((u for u in free if i in u), None)
-        if hit is not None:
-            match[i] = hit
-            free.remove(hit)
-    for i in ids:
-        if i not in match and free:
-            match[i] = free.pop(0)
-    return re.sub(FILE_REFERENCE, lambda m: match.get(m.group(0).rpartition("/")[2], origin + m.group(0)), md)
+    plus = F.replace(F.coalesce(html, F.lit("")), F.lit("+"), F.lit("%2B"))
+    full = F.transform(F.regexp_extract_all(plus, F.lit(IMAGE_PROXY), F.lit(1)), lambda u: F.coalesce(F.try_url_decode(u), u))
+    wanted = F.filter(full, lambda u: ~u.contains("%2Ficon%2F") & u.rlike("(?:assets|uploads)%2F"))
+    bare = F.transform(wanted, lambda u: F.substring_index(u, "?", 1))
+    return F.filter(wanted, lambda u, k: F.array_position(bare, F.substring_index(u, "?", 1)) == k + 1)
 
 
-def gitbook_page(md: Column, html: Column, origin: Column) -> Column:
-    """A page's Markdown without banner and footer, its images resolved and its targets absolute; the rendered page may be NULL."""
+def image_of_reference(ids: Column, images: Column) -> Column:
+    """Map from the ids of file references to images.
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b, c in batches:
-            yield pd.Series([None if m is None else with_images(m, proxied_images(h), o or "") for m, h, o in zip(a, b, c)], dtype=object)
+    A left fold: each id takes the first free image whose URL holds it; the ids that are left are then paired with the
+    images that are left by their rank.
+    """
+    pair = "struct<id:string,url:string>"
+    start = F.struct(F.array().cast(f"array<{pair}>").alias("hits"), images.alias("free"))
+
+    def take(state: Column, i: Column) -> Column:
+        hit = F.get(F.filter(state["free"], lambda u: u.contains(i)), F.lit(0))
+        taken = F.struct(
+            F.array_append(state["hits"], F.struct(i.alias("id"), hit.alias("url"))).cast(f"array<{pair}>").alias("hits"), F.array_remove(state["free"], hit).alias("free")
+        )
+        return F.when(hit.isNull(), state).otherwise(taken)
+
+    def rank_joined(state: Column) -> Column:
+        rest = F.filter(ids, lambda i: ~F.exists(state["hits"], lambda h: h["id"] == i))
+        pairs = F.filter(F.zip_with(rest, state["free"], lambda i, u: F.struct(i.alias("id"), u.alias("url"))), lambda p: p["id"].isNotNull() & p["url"].isNotNull())
+        return F.map_from_entries(F.concat(state["hits"], pairs.cast(f"array<{pair}>")))
 
+    return F.aggregate(ids, start, take, rank_joined)
+
+
+def with_images(md: Column, images: Column, origin: Column) -> Column:
+    """File references replaced by their images; those without one become absolute."""
+    refs = F.regexp_extract_all(md, F.lit(f"({FILE_REFERENCE})"), F.lit(1))
+    ids = F.array_distinct(F.transform(refs, lambda r: F.substring_index(r, "/", -1)))
+    table = image_of_reference(ids, images)
+    between = F.split(md, FILE_REFERENCE)
+    target = lambda r: F.coalesce(F.element_at(table, F.substring_index(r, "/", -1)), F.concat(origin, r), F.lit(""))
+    return F.array_join(F.zip_with(between, refs, lambda text, r: F.concat(text, target(r))), "")
+
+
+def gitbook_page(md: Column, html: Column, origin: Column) -> Column:
+    """A page's Markdown without banner and footer, its images resolved and its targets absolute; the rendered page may be NULL."""
     bare = markup.strip_agent_footer(markup.strip_index_banner(F.trim(md)))
-    return markup.absolutize_root(run(bare, html, origin), origin)
+    return markup.absolutize_root(with_images(bare, proxied_images(html), F.coalesce(origin, F.lit(""))), origin)

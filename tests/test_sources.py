@@ -50,18 +50,23 @@ def test_lenient_dom():
 @pytest.mark.parametrize(
     "html, src",
     [
-        ('<picture><source media="print" srcset="/dead.png 9000w"><source srcset="/a.png 100w, /b.png 200w"><img src="/c.png"></picture>', "https://h/b.png"), ('<img src="images/x.png" srcset="/a.png 900w">', "https://h/d/images/x.png"),
+        ('<picture><source media="(not all)" srcset="/dead.png 9000w"><source srcset="/a.png 100w, /b.png 200w"><img src="/c.png"></picture>', "https://h/b.png"), ('<picture><source media="print" srcset="/p.png 9000w"><img src="/c.png"></picture>', "https://h/p.png"),
+        ('<img src="/c.png" srcset="/d.png 1x">', "https://h/d.png"), ('<picture><source srcset="/a.png 1x, /a2.png 2x"></picture>', "https://h/a2.png"), ('<img src="/x?$p$" srcset="/x?WID=1199, /x?wid=599">', "https://h/x?WID=1199"), ('<img src="images/x.png" srcset="/a.png 900w">', "https://h/d/images/x.png"),
         ('<img src="data:image/gif;base64,AA" data-src="/lazy.png">', "https://h/lazy.png"), ('<img src="/a.png?wid=100" srcset="/b.png?wid=900 2x">', "https://h/b.png?wid=900"), ('<img src="data:x">', None), ("<picture></picture>", None),
     ],
 )
 def test_images_become_plain(html, src):
     out = profiles.extract(f"<article>{html}</article>", "https://h/d/p.html", "docusaurus")
     found = [n.attrs for n in dom.select(dom.parse(out), "img")]
-    assert found == ([{"src": src}] if src else [])
+    assert [{k: v for k, v in f.items() if k != "alt"} for f in found] == ([{"src": src}] if src else [])
 
 
 def test_profiles():
     x = profiles.extract
+    deep = x("<article>" + "<div>" * 3000 + "t" + "</div>" * 3000 + "</article>", "https://h", "docusaurus")
+    assert deep.count("<div>") == 3000 and dom.parse(deep).text() == "t"
+    assert x('<main id="main-content">shell</main>', "https://h", "openstax") is None and x('<main class="page-content"><div data-type="page"> in </div></main>', "https://h", "openstax") == "in"
+    assert x('<main class="page-content">whole</main>', "https://h", "openstax") == "whole"
     assert x('<div role="main"><h1>T<a class="headerlink">#</a></h1><a href="../b">l</a></div>', "https://h/a/c", "sphinx") == '<div role="main"><h1>T</h1><a href="https://h/b">l</a></div>'
     assert x("<p>none</p>", "https://h", "sphinx") is None and x(None, "https://h", "hugo") is None and x("", "https://h", "hugo") is None
     assert x('<div id="content"><div id="contentOrg">in</div></div>', "https://h", "asciidoctor") == '<div id="contentOrg">in</div>'
@@ -71,6 +76,11 @@ def test_profiles():
     assert x('<div id="ocArticle"><nav>n</nav><p class="supTOC">x</p><p>y</p></div>', "https://h", "microsoft_support") == "<p>y</p>"
 
 
+def test_topic_trees_of_any_depth(spark):
+    deep = "x = [" + '{"text":"a","nodes":[' * 150 + "]}" * 150 + "];"
+    assert len(discover._topic_rows(deep)) == 150 and discover._topic_rows("[" * 99_999) == [] and discover._topic_rows(None) == [] and discover._topic_rows("none") == []
+
+
 def test_discovery(spark):
     def pages(df, column="url"):
         return [r[column] for r in df.orderBy("ord").collect()]
@@ -90,12 +100,26 @@ def test_discovery(spark):
     assert list(found.values()) == [True, False, False, False]
 
 
-def test_specifications():
-    assert specs.render("openapi: 3.0.0\ninfo: {title: Y}\npaths: {}")[:3] == ("openapi", "Y", 0)
-    assert specs.render("[1]")[0] is None and specs.render(None)[0] is None and specs.render("{")[0] is None and specs.render("")[0] is None
-    old = '{"swagger": "2.0", "host": "h", "basePath": "/v1", "paths": {"/a": {"post": {"parameters": [{"in": "body", "schema": {"type": "object", "properties": {"x": {}}}}], "responses": {"404": {"$ref": "#/responses/NotFound"}}}}}}'
-    text = specs.render(old)[3]
-    assert "`https://h/v1`" in text and "- `x` _object_" in text and "- `404` — NotFound" in text
+def test_specifications(spark):
+    old = (
+        '{"swagger": "2.0", "host": "h", "basePath": "/v1", "definitions": {"P": {"required": ["a"], "properties": {"a": {"type": "string", "description": "A"}, "b": {"$ref": "#/definitions/Q"}}}, "Q": {"type": "integer"}},'
+        '"parameters": {"lim": {"name": "limit", "in": "query", "type": "integer"}}, "responses": {"Gone": {}},'
+        '"paths": {"/a": {"parameters": [{"$ref": "#/parameters/lim"}], "post": {"summary": "S", "description": "S", "parameters": [{"in": "body", "schema": {"$ref": "#/definitions/P"}}], "responses": {"200": {"description": " ok "}, "404": {"$ref": "#/responses/Gone"}, "500": {"$ref": "#/responses/500"}}}, "get": null}}}'
+    )
+    collection = '{"info": {"name": "Set", "schema": "v2"}, "item": [{"name": "F", "item": [{"name": "R", "request": {"method": "PUT", "url": {"raw": "u"}, "header": [{"key": "A", "value": "b"}], "body": {"raw": " x "}}, "response": [{"name": "ok", "code": 200}]}]}, "junk"]}'
+    rows = [
+        ("old", old), ("set", collection), ("yaml", "openapi: 3.0.0\ninfo: {title: Y}\npaths: {}"), ("null key", '{"openapi": null}'), ("list", "[1]"), ("broken", "{"), ("empty", ""), ("null", None),
+        ("deep", '{"openapi": "3", "paths": ' + '{"a":' * 3000 + "1" + "}" * 3001), ("deep list", "[" * 9000), ("deep set", '{"info": {"schema": 1}, "item": ' + '[{"item":' * 400 + "[]" + "}]" * 400 + "}"),
+    ]
+    got = {r.name: r for r in specs.rendered(spark.createDataFrame(rows, "name string, body string"), "name", "body").collect()}
+    assert len(got) == len(rows)
+    assert got["old"].content == (
+        "# api-spec\n\n**Base URL:** `https://h/v1`\n\n## POST /a\n\nS\n\n**Parameters:**\n\n| Name | In | Type | Required | Description |\n| --- | --- | --- | --- | --- |\n| `limit` | query | integer | no |  |\n\n"
+        "**Request body:**\n\n- `a` _string_ (required) — A\n- `b` _integer_\n\n**Responses:**\n- `200` — ok\n- `404` — Gone\n- `500`\n"
+    )
+    assert got["set"].content == "# Set\n\n## F\n\n### R\n\n`PUT u`\n\n**Headers:**\n\n- `A: b`\n\n**Body:**\n\n```\nx\n```\n\n_Example response: ok (200)_\n" and got["set"].pages == 1
+    assert tuple(got["yaml"]) == ("yaml", "openapi", "Y", 0, "# Y\n") and got["null key"].format == "openapi"
+    assert all(got[n].format is None and got[n].pages == 0 for n in ("list", "broken", "empty", "null", "deep", "deep list"))
 
 
 def test_archives(spark):
@@ -108,9 +132,13 @@ def test_archives(spark):
         info = tarfile.TarInfo("a.md")
         info.size = 1
         f.addfile(info, io.BytesIO(b"m"))
-    files = spark.createDataFrame([("z", bytearray(z.getvalue())), ("t", bytearray(t.getvalue())), ("bad", bytearray(b"x")), ("null", None)], "source string, data binary")
+    locked = bytearray(z.getvalue())  # the flag of encryption, in the header and in the directory
+    locked[6] |= 1
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    files = spark.createDataFrame([("z", bytearray(z.getvalue())), ("t", bytearray(t.getvalue())), ("bad", bytearray(b"x")), ("null", None), ("locked", locked)], "source string, data binary")
     members = archive.members(files)
-    assert sorted(r.source for r in members.where("error IS NOT NULL").collect()) == ["bad", "null"]
+    assert sorted(r.source for r in members.where("error IS NOT NULL").collect()) == ["bad", "locked", "null"]
+    assert archive._rows("big", z.getvalue(), 4) == [("big", None, None, None, "too large")]
     got = archive.reading_order(members).orderBy("source", "ord").collect()
     assert [(r.source, r.member, r.kind) for r in got] == [("t", "a.md", "markdown"), ("z", "c2.txt", "markdown"), ("z", "c10.txt", "markdown")] and got[1].text == "t�wo"
 
@@ -174,7 +202,7 @@ def test_images_of_rendered_pages(spark):
     from manualmill.sources import systems as s
 
     html = '<img src="~gitbook/image?url=https%3A%2F%2Fh%2Fo%2Fassets%252FB7.png%3Falt&w=1"><img src="~gitbook/image?url=https%3A%2F%2Fh%2Fo%2Fuploads%252Fx.png"><img src="~gitbook/image?url=https%3A%2F%2Fh%2Fspace%252Ficon%252Fy.png">'
-    assert s.proxied_images(html) == ["https://h/o/assets%2FB7.png?alt", "https://h/o/uploads%2Fx.png"] and s.proxied_images(None) == []
+    assert one(spark, s.proxied_images(F.col("h")), h=html) == ["https://h/o/assets%2FB7.png?alt", "https://h/o/uploads%2Fx.png"] and one(spark, s.proxied_images(F.col("h")), h=None) == []
     got = one(spark, s.gitbook_page(F.col("m"), F.col("h"), F.lit("https://o")), m="![a](/files/Q1) ![b](/files/B7) ![c](/files/Z9) [d](/e)\n\n---\n\n# Agent Instructions\nx", h=html)
     assert got == "![a](https://h/o/uploads%2Fx.png) ![b](https://h/o/assets%2FB7.png?alt) ![c](https://o/files/Z9) [d](https://o/e)"
     assert one(spark, s.gitbook_page(F.col("m"), F.col("h"), F.lit("https://o")), m=None, h=None) is None
@@ -185,6 +213,6 @@ def test_articles_and_aliases(spark):
 
     pages = spark.createDataFrame([("a", 1, '<h1>T</h1><div id="ocArticle">x</div>'), ("a", 2, '<div id="ocArticle">shell</div>'), ("a", 3, "<p>none</p>")], "s string, ord int, html string")
     got = s.support_article(pages.withColumn("url", F.lit("https://h/")), "html", "url").orderBy("ord").collect()
-    assert [(r.ord, r.title, r.body) for r in got] == [(1, "T", "x"), (3, "", None)] or [(r.ord, r.title, r.body) for r in got] == [(1, "T", "x")]
+    assert [(r.ord, r.title, r.body) for r in got] == [(1, "T", "x"), (3, "", None)]
     same = spark.createDataFrame([("a", 2, "x"), ("a", 1, "x"), ("a", 3, None), ("a", 4, None), ("b", 5, "x")], "s string, ord int, body string")
     assert sorted(r.ord for r in s.unaliased(same, ["s"], "ord", "body").collect()) == [1, 3, 4, 5]
