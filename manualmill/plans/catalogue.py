@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.incremental import ChangeFeed
 from ..session import scratch, table
-from . import corpus_queries, page_queries, source_queries, url_queries
+from . import acquire_queries, corpus_queries, page_queries, source_queries, url_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +41,9 @@ QUERIES: dict[str, Query] = {
     **page_queries.QUERIES,
     **corpus_queries.QUERIES,
     **source_queries.QUERIES,
+    **acquire_queries.QUERIES,
 }
-SQL: dict[str, str] = {"p2_found": _P2, **url_queries.SQL, **page_queries.SQL, **corpus_queries.SQL, **source_queries.SQL}
+SQL: dict[str, str] = {"p2_found": _P2, **url_queries.SQL, **page_queries.SQL, **corpus_queries.SQL, **source_queries.SQL, **acquire_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

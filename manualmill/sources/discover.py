@@ -79,12 +79,6 @@ def sphinx_wanted(url: Column, prefix: Column) -> Column:
     return url.startswith(prefix) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SPHINX_SKIP_DIRS))) & ~F.coalesce(stem.isin(*SPHINX_SKIP_PAGES), F.lit(False))
 
 
-def asciidoctor_wanted(url: Column, base: Column) -> Column:
-    """A page of the same folder."""
-    rest = F.substring(url, F.length(base) + 2, F.lit(1 << 20))
-    return url.startswith(F.concat(base, F.lit("/"))) & rest.rlike(r"^[^/?#]+\.html$")
-
-
 def clickhelp_topics(df: DataFrame, script: str, keys: list[str]) -> DataFrame:
     return first_seen(_exploded(df, F.regexp_extract_all(script, F.lit(CLICKHELP_ID), F.lit(1)), keys, "topic"), [*keys, "topic"], ["ord"])
 
@@ -103,16 +97,6 @@ def llms_pages(df: DataFrame, index: str, keys: list[str], section: str | None =
     return first_seen(found, [*keys, "url"], ["ord"])
 
 
-def adobe_topics(df: DataFrame, links: Column, keys: list[str], product: Column) -> DataFrame:
-    """Links of the product, without anchors and denied areas, first-seen."""
-    found = _exploded(df.withColumn("_p", product), links, [*keys, "_p"])
-    found = found.withColumn("url", urls.without_fragment(F.col("url")))
-    deny = F.lit(False)
-    for d in ADOBE_DENY:
-        deny = deny | F.col("url").contains(d)
-    return first_seen(found.where(F.col("url").contains(F.col("_p")) & ~deny).drop("_p"), [*keys, "url"], ["ord"])
-
-
 def mkdocs_bodies(df: DataFrame, index: str, keys: list[str]) -> DataFrame:
     """(keys..., ord, path, title, body): the pages of a search index as Markdown, in first-seen order.
 
@@ -195,7 +179,7 @@ def _topic_rows(text: str | None) -> list[dict]:
             continue
         inner = node.get("nodes")
         branch = isinstance(inner, list)
-        name, href = html.unescape(str(node.get("text") or "")), str(node.get("href") or "")
+        name, href = html.unescape(str(node.get("text") or "")), str(node.get("href") or ("" if branch else f"{node.get('id', '')}.html"))
         out.append({"ord": len(out), "depth": depth, "kind": "branch" if branch else "leaf", "text": name, "href": href})
         stack += [(n, depth + 1) for n in reversed(inner)] if branch else []
     return out
