@@ -53,13 +53,16 @@ def read_manifest(text: Column) -> Column:
 
 
 def build_manifests(staged: DataFrame, now: Column, tool_version: str) -> DataFrame:
-    """Manifest rows of staged deliverables (source_url, slug, kind, title, content, pages, lost, truncated, single_document)."""
+    """Manifest rows of staged deliverables (source_url, slug, kind, title, pages, lost, truncated, single_document) with
+    their content, or with its bytes and sha256 if these are known already."""
     ext = F.when(F.col("kind") == "markdown", "md").otherwise(F.col("kind"))
+    known = "sha256" in staged.columns
+    size = F.col("bytes") if known else F.octet_length("content").cast("bigint")
     return staged.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(tool_version).alias("tool_version"), "source_url", _pattern().alias("pattern"), "slug", "kind", "title",
         F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), "truncated", "single_document", F.lit(False).alias("kept_raw"), "lost",
-        F.lit(None).cast("string").alias("localized_sha256"), F.concat("slug", F.lit("."), ext).alias("deliverable"), "pages", F.octet_length("content").cast("bigint").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"), F.lit(0).alias("images"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ingested_at"),
+        F.lit(None).cast("string").alias("localized_sha256"), F.concat("slug", F.lit("."), ext).alias("deliverable"), "pages", size.alias("bytes"),
+        (F.col("sha256") if known else F.sha2("content", 256)).alias("sha256"), F.lit(0).alias("images"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ingested_at"),
     )
 
 
@@ -84,28 +87,44 @@ def duplicates(rows: DataFrame, value: str, slug: str = "slug") -> DataFrame:
     return own.join(both, value).select(slug, value, (F.col("_n") - 1).alias("others"), first.alias("first_other"))
 
 
+def measured(contents: DataFrame) -> DataFrame:
+    """(slug, hash, bytes, remote, local, md_heads, html_heads): all that an audit looks at, so that no text is shuffled.
+
+    contents is (slug, content) as delivered; a repeated row counts once, a NULL content has a NULL hash.
+    """
+    c = F.col("content")
+    return contents.where("slug IS NOT NULL").select(
+        "slug", F.sha2(c, 256).alias("hash"), F.octet_length(c).cast("bigint").alias("bytes_now"), F.size(markup.remote_images(c)).alias("remote"), markup.local_images(c).alias("local"),
+        F.regexp_count(c, F.lit(markup.MARKDOWN_HEADING)).alias("md_heads"), F.regexp_count(c, F.lit(markup.HTML_HEADING)).alias("html_heads"),
+    ).distinct()
+
+
 def findings(manifests: DataFrame, contents: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(slug, ord, check, level, detail): what an audit finds in each slug, in the order of the checks.
 
-    manifests holds one row a slug of those that have one; contents is (slug, content), one row a slug, NULL if the
-    deliverable is gone; a slug of contents without manifest is found missing.  files is (slug, path) of local images,
-    if they are known.  The first three findings stand alone.
+    manifests holds one row a slug of those that have one; contents is (slug, content), NULL if the deliverable is gone; a
+    slug of contents without manifest is found missing.  files is (slug, path) of local images, if they are known; a
+    slug with files counts as localized.  The first three findings stand alone.
     """
     single = [p.name for p in PATTERNS if p.single_fetch]
     known = [p.name for p in PATTERNS]
     m = manifests.withColumn("_has", F.lit(True))
-    both = m.join(contents.withColumn("_there", F.col("content").isNotNull()), "slug", "full_outer")
+    both = m.join(measured(contents), "slug", "full_outer")
+    dangling = both.select("slug", F.explode("local").alias("path")).distinct()
     if files is not None:
-        have = files.groupBy("slug").agg(F.collect_set("path").alias("_files"))
-        both = both.join(have, "slug", "left")
+        have = files.select("slug", "path").distinct()
+        dangling = dangling.join(have, ["slug", "path"], "left_anti")
+        both = both.join(have.select("slug").distinct().withColumn("_stored", F.lit(True)), "slug", "left")
     else:
-        both = both.withColumn("_files", F.lit(None).cast("array<string>"))
+        both = both.withColumn("_stored", F.lit(False))
+    gaps = dangling.groupBy("slug").agg(F.count("*").alias("_gaps"), F.min("path").alias("_gap"))
+    both = both.join(gaps, "slug", "left").withColumn("_gaps", F.coalesce("_gaps", F.lit(0)))
     lost = F.coalesce("lost", F.lit(0))
     staged = F.coalesce("pages", F.lit(0))
     total = lost + staged
     share = F.bround(100 * lost / F.greatest(total, F.lit(1)), 0).cast("int")
-    remote = F.size(markup.remote_images("content"))
-    dangling = F.array_sort(F.array_except(markup.local_images("content"), F.coalesce("_files", F.array().cast("array<string>"))))
+    remote = F.col("remote")
+    heads = F.when(F.col("kind") == "markdown", F.col("md_heads")).otherwise(F.col("html_heads"))
     expected = F.coalesce(F.when(F.col("localized_sha256") != "", F.col("localized_sha256")), F.when(F.col("images") == 0, F.col("sha256")))
     texty = F.col("kind").isin("markdown", "html")
 
@@ -114,15 +133,15 @@ def findings(manifests: DataFrame, contents: DataFrame, files: DataFrame | None
         return F.when(when, F.struct(F.lit(n).alias("ord"), F.lit(check).alias("check"), F.lit(level).alias("level"), detail.alias("detail")))
 
     gone = F.col("_has").isNull()
-    missing = ~gone & F.coalesce(~F.col("_there"), F.lit(True))
-    empty = ~gone & ~missing & (F.length("content") == 0)
+    missing = ~gone & F.col("hash").isNull()
+    empty = ~gone & ~missing & (F.col("bytes_now") == 0)
     live = ~gone & ~missing & ~empty
     say = F.format_string
     checks = [
         found(1, "manifest_missing", "error", gone, "no manifest"),
         found(2, "deliverable_missing", "error", missing, say("%s is gone", "deliverable")),
         found(3, "deliverable_empty", "error", empty, say("%s has 0 bytes", "deliverable")),
-        found(4, "sha_mismatch", "error", live & (F.sha2("content", 256) != expected), "content differs from the recorded hash"),
+        found(4, "sha_mismatch", "error", live & (F.col("hash") != expected), "content differs from the recorded hash"),
         found(5, "crawl_truncated", "error", live & F.col("truncated"), say("cut short at %s pages", F.coalesce(F.col("pages").cast("string"), F.lit("?")))),
         found(6, "pages_lost", "error", live & (lost > 0), say("%d of %d pages lost (%d%%)", lost, total, share)),
         found(
@@ -130,9 +149,9 @@ def findings(manifests: DataFrame, contents: DataFrame, files: DataFrame | None
             live & (F.col("kind") != "pdf") & F.col("pattern").isin(*known) & ~F.col("pattern").isin(*single) & ~F.coalesce("single_document", F.lit(False)) & (F.col("pages") == 1),
             say("%s gave 1 page", "pattern"),
         ),
-        found(8, "localize_incomplete", "warning", live & texty & (F.col("images") > 0) & (remote > 0), say("%d remote images", remote)),
-        found(9, "broken_image_ref", "error", live & texty & (F.size(dangling) > 0), say("%d missing images, such as %s", F.size(dangling), F.get(dangling, F.lit(0)))),
-        found(10, "no_headings", "warning", live & texty & (F.col("pages") > 1) & (markup.heading_count(F.col("content"), F.col("kind")) == 0), say("%d pages without a heading", "pages")),
+        found(8, "localize_incomplete", "warning", live & texty & ((F.col("images") > 0) | F.coalesce("_stored", F.lit(False))) & (remote > 0), say("%d remote images", remote)),
+        found(9, "broken_image_ref", "error", live & texty & (F.col("_gaps") > 0), say("%d missing images, such as %s", "_gaps", "_gap")),
+        found(10, "no_headings", "warning", live & texty & (F.col("pages") > 1) & (heads == 0), say("%d pages without a heading", "pages")),
     ]
     return both.select("slug", F.inline(F.array_compact(F.array(*checks)))).select("slug", "ord", "check", "level", "detail")
 
@@ -193,3 +212,24 @@ def ranked_latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key by order, by a window; for rows too wide for a grouped maximum."""
     w = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def renormalized(manifests: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, manifests) of merging kept raw pages again: nothing is fetched.
+
+    made is (slug, bytes, sha256): what the merge of the raw pages gives now, for slugs that keep them.  A slug without a manifest, without
+    kept pages, of an unknown pattern or with an empty result fails and keeps what it has.  Where the hash is that of
+    the manifest nothing changes; else the manifest gets the new hash and size, and its images are to be fetched anew.
+    """
+    known = [p.name for p in PATTERNS]
+    both = manifests.withColumn("_has", F.lit(True)).join(made.select("slug", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha")), "slug", "full_outer")
+    error = (
+        F.when(F.col("_has").isNull(), "no manifest").when(~F.coalesce("kept_raw", F.lit(False)), "no raw pages are kept")
+        .when(~F.coalesce(F.col("pattern").isin(*known), F.lit(False)), "the pattern is unknown").when(F.coalesce("_bytes", F.lit(0)) == 0, "empty output")
+    )
+    status = F.when(error.isNotNull(), "failed").when(F.coalesce(F.col("_sha") == F.col("sha256"), F.lit(False)), "unchanged").otherwise("changed")
+    both = both.withColumn("_error", error).withColumn("_status", status)
+    changed = F.col("_status") == "changed"
+    new = {"bytes": F.col("_bytes"), "sha256": F.col("_sha"), "images": F.lit(0), "localized_sha256": F.lit(None).cast("string")}
+    out = both.where("_has").select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in manifests.columns])
+    return both.select("slug", F.col("_status").alias("status"), F.col("_error").alias("error")), out

@@ -34,10 +34,12 @@ def classified(refs: DataFrame, sidecar: DataFrame, probes: DataFrame) -> DataFr
 
 
 def merged_sidecar(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Records of both, the new one of each (slug, source_url) winning."""
+    """Records of both, the new one of each (slug, source_url) winning, of equal ones the first by local name; a grouped
+    maximum, so it combines map-side."""
+    rest = [c for c in old.columns if c not in ("slug", "source_url")]
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy("slug", "source_url").orderBy(F.col("_new").desc(), "local")
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+    least = both.groupBy("slug", "source_url").agg(F.min(F.struct(-F.col("_new"), "local", *[c for c in rest if c != "local"])).alias("_m"))
+    return least.select(*[F.col(c) if c not in rest else F.col(f"_m.{c}").alias(c) for c in old.columns])
 
 
 def sidecar_json(records: DataFrame) -> DataFrame:
@@ -55,6 +57,24 @@ def broken(docs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(files.select("slug", "path").distinct(), ["slug", "path"], "left_anti")
 
 
+def broken_references(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """broken() of references (slug, path) that were taken before, so that no text is moved."""
+    return refs.select("slug", "path").distinct().join(files.select("slug", "path").distinct(), ["slug", "path"], "left_anti")
+
+
+def localized(refs: DataFrame, sidecar: DataFrame, probes: DataFrame, responses: DataFrame) -> DataFrame:
+    """(slug, localized, reused, remaining): what one pass over the remote references of each deliverable does.
+
+    In the order of the pass: a reference whose file is known and unchanged is reused, the others are fetched, and those
+    that don't answer stay remote.  refs is references(), sidecar and probes as for classified(), responses (url, status).
+    """
+    acted = classified(refs.select("slug", "url", "decoded").distinct(), sidecar, probes)
+    ok = responses.where("status = 200").select(F.col("url").alias("decoded"), F.lit(True).alias("_got")).distinct()
+    both = acted.join(ok, "decoded", "left")
+    reused, got = F.col("action") == "reuse", F.coalesce("_got", F.lit(False))
+    return both.groupBy("slug").agg(F.count_if(~reused & got).alias("localized"), F.count_if(reused).alias("reused"), F.count_if(~reused & ~got).alias("remaining"))
+
+
 def orphans(docs: DataFrame, files: DataFrame) -> DataFrame:
     """(slug, path): files that the deliverable doesn't name; none of a slug that still has remote references."""
     refs = docs.select("slug", F.explode(markup.local_images("content")).alias("path"))

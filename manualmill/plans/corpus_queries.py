@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import markup, urls
 from ..operators import corpus, images
 from ..operators.routing import PATTERNS, registry
 from ..session import table
 from ..streaming import progress
-from .page_queries import _C, _contents, _rows
+from .page_queries import _C, _rows
 
 
 def _manifests(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,8 @@ def _manifests(spark: SparkSession, d: str) -> DataFrame:
 
 def q25_manifest_build(spark: SparkSession, d: str) -> DataFrame:
     m = _manifests(spark, d)
-    staged = _contents(spark, d).join(m.select("slug", "source_url", "title", "pages", "lost", "truncated", "single_document"), "slug")
+    own = _rows(spark, d).select("slug", "kind", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256")).distinct()
+    staged = own.join(m.select("slug", "source_url", "title", "pages", "lost", "truncated", "single_document"), "slug")
     out = corpus.build_manifests(staged, F.lit("2025-01-02 03:04:05").cast("timestamp"), "1.0")
     return out.select("slug", "schema_version", "pattern", "deliverable", "pages", "bytes", "sha256", "ingested_at")
 
@@ -44,7 +45,7 @@ def q28_duplicate_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _audited(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.audit_all(_manifests(spark, d), _contents(spark, d).select("slug", "content"))
+    return corpus.audit_all(_manifests(spark, d), _rows(spark, d).select("slug", "content"))
 
 
 def q29_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -67,12 +68,18 @@ def q32_single_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q33_broken_images(spark: SparkSession, d: str) -> DataFrame:
-    """References of deliverables to images, of which the files with an even last letter are there."""
-    docs = _contents(spark, d)
-    from ..functions import markup
+    """References of deliverables to images, where a site has the files that its manuals together name at least twice."""
+    refs = _rows(spark, d).select("slug", F.explode(markup.local_images(F.col("content"))).alias("path")).distinct()
+    stored = refs.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    have = refs.join(stored, "path", "left_semi")
+    return images.broken_references(refs, have)
 
-    have = docs.select("slug", F.explode(markup.local_images("content")).alias("path")).where("ascii(substring_index(path, '/', -1)) % 2 = 0")
-    return images.broken(docs, have)
+
+def q29_audit_with_files(spark: SparkSession, d: str) -> DataFrame:
+    """The audit where the files of images are known: those that several manuals name are there."""
+    refs = _rows(spark, d).select("slug", F.explode(markup.local_images(F.col("content"))).alias("path")).distinct()
+    have = refs.join(refs.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path"), "path", "left_semi")
+    return corpus.findings(_manifests(spark, d), _rows(spark, d).select("slug", "content"), have).where("ord > 7").select("slug", "ord", "check", "level")
 
 
 def _prior_and_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -90,6 +97,33 @@ def q34_refresh_status(spark: SparkSession, d: str) -> DataFrame:
     return corpus.refresh_status(prior, new)
 
 
+def q34_refresh_probed(spark: SparkSession, d: str) -> DataFrame:
+    """The refresh with the answers of the validators: the log's records without a hash are answers that nothing changed."""
+    prior, new = _prior_and_new(spark, d)
+    same = table(spark, d, "manifest_log").where("slug IS NOT NULL AND sha256 IS NULL").select("slug").distinct()
+    return corpus.refresh_status(prior, new, same)
+
+
+def q65_renormalize(spark: SparkSession, d: str) -> DataFrame:
+    """Deliverables merged again from their pages, HTML ones with a new separator: what changes, what fails."""
+    m = _manifests(spark, d)
+    body = F.when(F.col("kind") == "html", F.replace("content", F.lit("</section>"), F.lit("</section>\n"))).otherwise(F.col("content"))
+    made = _rows(spark, d).select("slug", F.octet_length(body).cast("bigint").alias("bytes"), F.sha2(body, 256).alias("sha256")).distinct()
+    outcomes, after = corpus.renormalized(m, made)
+    return outcomes.join(after.select("slug", "sha256", "images"), "slug", "left").select("slug", "status", "error", "sha256", "images")
+
+
+def q66_localize(spark: SparkSession, d: str) -> DataFrame:
+    """One pass over the log's addresses as references, by their lengths: some files are known, some unchanged, some answer."""
+    log = table(spark, d, "manifest_log").where("slug IS NOT NULL AND source_url IS NOT NULL")
+    refs = log.select("slug", F.col("source_url").alias("url"), F.col("source_url").alias("decoded")).distinct()
+    n = F.length("decoded")
+    known = refs.where(n % 3 == 0).select("slug", F.col("decoded").alias("source_url"), urls.image_name(F.col("decoded")).alias("local")).distinct().withColumn("on_disk", F.lit(True))
+    probes = refs.where(n % 2 == 0).select(F.col("decoded").alias("url"), F.lit(True).alias("not_modified")).distinct()
+    got = refs.where(n % 5 != 0).select(F.col("decoded").alias("url"), F.lit(200).alias("status")).distinct()
+    return images.localized(refs, known, probes, got).select("slug", "localized", "reused", "remaining")
+
+
 def q34_refresh_counts(spark: SparkSession, d: str) -> DataFrame:
     prior, new = _prior_and_new(spark, d)
     return corpus.refresh_status(prior, new).groupBy("status").agg(F.count("*").alias("slugs"))
@@ -117,7 +151,11 @@ def q38_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q54_remote_images(spark: SparkSession, d: str) -> DataFrame:
-    return images.references(_contents(spark, d)).groupBy("slug").agg(F.count("*").alias("remote"))
+    """Remote images of documents that name every address of a slug's log as one, after the slug's deliverable."""
+    log = table(spark, d, "manifest_log").where("slug IS NOT NULL AND source_url IS NOT NULL")
+    named = log.groupBy("slug").agg(F.array_join(F.collect_list(F.concat(F.lit("![a]("), "source_url", F.lit(")"))), "\n").alias("names"))
+    rows = _rows(spark, d).join(named, "slug").select("slug", F.concat("content", F.lit("\n"), "names").alias("content"))
+    return rows.select("slug", F.size(markup.remote_images(F.col("content"))).cast("bigint").alias("remote")).distinct()
 
 
 def q56_image_actions(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +177,7 @@ def q57_sessions(spark: SparkSession, d: str) -> DataFrame:
     return progress.sessions(e, "ts", "user_id", "6 hours")
 
 
-QUERIES = {f.__name__: f for f in (q25_manifest_build, q25_manifest_latest, q26_duplicate_content, q27_duplicate_of, q28_duplicate_source, q29_audit, q30_audit_summary, q31_lost_share, q32_single_page, q33_broken_images, q34_refresh_status, q34_refresh_counts, q35_stale_slugs, q36_sidecar_merge, q37_status_listing, q38_rollup, q54_remote_images, q56_image_actions, q57_tumbling, q57_sessions)}
+QUERIES = {f.__name__: f for f in (q25_manifest_build, q25_manifest_latest, q26_duplicate_content, q27_duplicate_of, q28_duplicate_source, q29_audit, q29_audit_with_files, q30_audit_summary, q31_lost_share, q32_single_page, q33_broken_images, q34_refresh_status, q34_refresh_probed, q34_refresh_counts, q35_stale_slugs, q36_sidecar_merge, q37_status_listing, q38_rollup, q54_remote_images, q56_image_actions, q65_renormalize, q66_localize, q57_tumbling, q57_sessions)}
 
 from .url_queries import _HOST, _NET, _case  # noqa: E402
 
@@ -166,6 +204,11 @@ UNION ALL SELECT slug, 8, 'localize_incomplete', 'warning' FROM live WHERE kind
 UNION ALL SELECT slug, 9, 'broken_image_ref', 'error' FROM live WHERE kind IN ('markdown', 'html') AND len({_LOCAL}) > 0
 UNION ALL SELECT slug, 10, 'no_headings', 'warning' FROM live WHERE kind IN ('markdown', 'html') AND pages > 1 AND {_HEADS} = 0
 UNION ALL SELECT slug, 11, 'duplicate_content', 'warning' FROM dup UNION ALL SELECT slug, 12, 'duplicate_source_url', 'error' FROM dups)"""
+_FILES = f"""i AS (SELECT DISTINCT slug, unnest({_LOCAL}) AS path FROM {_C}), h AS (SELECT slug, path FROM i WHERE path IN (SELECT path FROM i GROUP BY path HAVING count(*) > 1))"""
+_LATE = f"""WITH m AS {_M}, {_FILES}, live AS (SELECT m.*, content FROM m JOIN {_C} c USING (slug) WHERE content <> '' AND m.kind IN ('markdown', 'html'))
+SELECT slug, 8 AS ord, 'localize_incomplete' AS "check", 'warning' AS level FROM live WHERE (images > 0 OR slug IN (SELECT slug FROM h)) AND {_REMOTE} > 0
+UNION ALL SELECT slug, 9, 'broken_image_ref', 'error' FROM live WHERE slug IN (SELECT slug FROM (FROM i EXCEPT FROM h))
+UNION ALL SELECT slug, 10, 'no_headings', 'warning' FROM live WHERE pages > 1 AND {_HEADS.replace('CASE kind', 'CASE live.kind')} = 0"""
 _REFRESH = f"""WITH m AS {_M}, l AS (SELECT slug, max(struct_pack(i := ingest_id, c := changed, b := bytes)) AS r FROM ingest_results WHERE slug IS NOT NULL GROUP BY slug),
 s AS (SELECT coalesce(m.slug, l.slug) AS slug, CASE WHEN m.slug IS NULL THEN 'skipped' WHEN l.slug IS NULL OR r.b IS NULL OR coalesce(CASE WHEN r.c THEN sha256(m.slug) ELSE m.sha256 END, '') = '' THEN 'failed'
   WHEN coalesce(CASE WHEN r.c THEN sha256(m.slug) ELSE m.sha256 END <> m.sha256, true) THEN 'changed' ELSE 'unchanged' END AS status FROM m FULL JOIN l ON m.slug = l.slug)"""
@@ -180,14 +223,21 @@ SQL = {
     "q30_audit_summary": _AUDIT + " SELECT \"check\", count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM f GROUP BY 1",
     "q31_lost_share": "SELECT user_id, count(*) FILTER (event_type = 'error') AS lost, round_even(100 * count(*) FILTER (event_type = 'error') / greatest(count(*), 1), 0)::INT AS share FROM events GROUP BY user_id",
     "q32_single_page": f"SELECT slug, pattern FROM {_M} WHERE kind <> 'pdf' AND NOT single_document AND pages = 1 AND pattern IN ({_KNOWN}) AND pattern NOT IN ({_SINGLE})",
-    "q33_broken_images": f"SELECT slug, path FROM (SELECT DISTINCT slug, unnest({_LOCAL}) AS path FROM {_C}) WHERE ascii(regexp_extract(path, '([^/]*)$', 1)) % 2 <> 0",
+    "q29_audit_with_files": _LATE,
+    "q33_broken_images": f"WITH {_FILES} SELECT slug, path FROM i EXCEPT SELECT slug, path FROM h",
+    "q34_refresh_probed": _REFRESH.replace("CASE WHEN m.slug IS NULL THEN 'skipped' WHEN", f"CASE WHEN m.slug IS NULL THEN 'skipped' WHEN m.pattern IN ({_SINGLE}) AND coalesce(m.etag, m.last_modified, '') <> '' AND m.slug IN (SELECT slug FROM manifest_log WHERE sha256 IS NULL AND slug IS NOT NULL) THEN 'unchanged' WHEN") + " SELECT * FROM s",
+    "q65_renormalize": f"""WITH m AS {_M}, c AS (SELECT slug, CASE WHEN kind = 'html' THEN replace(content, '</section>', '</section>' || chr(10)) ELSE content END AS b FROM {_C}),
+r AS (SELECT coalesce(m.slug, c.slug) AS slug, CASE WHEN m.slug IS NULL THEN 'no manifest' WHEN NOT kept_raw THEN 'no raw pages are kept' WHEN pattern IS NULL OR pattern NOT IN ({_KNOWN}) THEN 'the pattern is unknown' WHEN coalesce(strlen(b), 0) = 0 THEN 'empty output' END AS error, sha256(b) AS s, m.sha256 AS o, images FROM m FULL JOIN c ON m.slug = c.slug)
+SELECT slug, CASE WHEN error IS NOT NULL THEN 'failed' WHEN s = o THEN 'unchanged' ELSE 'changed' END AS status, error, CASE WHEN error IS NULL AND coalesce(s <> o, true) THEN s ELSE o END AS sha256, CASE WHEN error IS NULL AND coalesce(s <> o, true) THEN 0 ELSE images END AS images FROM r""",
     "q34_refresh_status": _REFRESH + " SELECT * FROM s",
     "q34_refresh_counts": _REFRESH + " SELECT status, count(*) AS slugs FROM s GROUP BY status",
     "q35_stale_slugs": f"SELECT DISTINCT slug FROM ingest_results WHERE slug IS NOT NULL AND slug NOT IN (SELECT slug FROM {_C})",
     "q36_sidecar_merge": "SELECT slug, source_url, rec_id::VARCHAR AS local, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY slug, source_url ORDER BY rec_id % 2 DESC, rec_id DESC) AS n FROM (SELECT DISTINCT slug, source_url, rec_id, sha256 FROM manifest_log WHERE slug IS NOT NULL AND source_url IS NOT NULL)) WHERE n = 1",
     "q37_status_listing": f"SELECT slug, deliverable, pattern, coalesce(pages::VARCHAR, '-') AS pages, CASE WHEN bytes < 1024 THEN printf('%.0f B', bytes::DOUBLE) WHEN bytes < 1048576 THEN printf('%.1f KB', bytes / 1024.0::DOUBLE) WHEN bytes < 1073741824 THEN printf('%.1f MB', bytes / 1048576.0::DOUBLE) ELSE printf('%.1f GB', bytes / 1073741824.0::DOUBLE) END AS size, CASE WHEN kept_raw THEN 'raw' ELSE '' END AS raw, left(ingested_at, 10) AS day, CASE WHEN {_NET.format(u='source_url')} = '' THEN '-' ELSE {_NET.format(u='source_url')} END AS host FROM {_M}",
     "q38_rollup": f"SELECT pattern, kind, count(*) AS manuals, sum(bytes)::BIGINT AS bytes, sum(images)::BIGINT AS images, sum(pages)::BIGINT AS pages FROM {_M} GROUP BY ALL",
-    "q54_remote_images": f"SELECT slug, {_REMOTE} AS remote FROM {_C} WHERE {_REMOTE} > 0",
+    "q54_remote_images": f"WITH u AS (SELECT slug, string_agg('![a](' || source_url || ')', chr(10)) AS names FROM manifest_log WHERE slug IS NOT NULL AND source_url IS NOT NULL GROUP BY slug) SELECT slug, {_REMOTE} AS remote FROM (SELECT slug, content || chr(10) || names AS content FROM {_C} JOIN u USING (slug))",
+    "q66_localize": """WITH l AS (SELECT DISTINCT slug, source_url AS u, length(source_url) AS n FROM manifest_log WHERE slug IS NOT NULL AND source_url IS NOT NULL)
+SELECT slug, count(*) FILTER (NOT r AND n % 5 <> 0) AS localized, count(*) FILTER (r) AS reused, count(*) FILTER (NOT r AND n % 5 = 0) AS remaining FROM (SELECT *, n % 3 = 0 AND n % 2 = 0 AS r FROM l) GROUP BY slug""",
     "q56_image_actions": """WITH l AS (SELECT * FROM manifest_log WHERE slug IS NOT NULL AND source_url IS NOT NULL), r AS (SELECT DISTINCT slug, source_url AS url FROM l),
 s AS (SELECT slug, source_url AS url, min(rec_id)::VARCHAR AS local FROM l WHERE bytes IS NOT NULL GROUP BY ALL), p AS (SELECT source_url AS url, bool_or(sha256 IS NULL) AS nm FROM l GROUP BY 1)
 SELECT slug, url, local, CASE WHEN local IS NULL OR length(local) <= 2 THEN 'download' WHEN nm THEN 'reuse' ELSE 'supersede' END AS action FROM r LEFT JOIN s USING (slug, url) LEFT JOIN p USING (url)""",

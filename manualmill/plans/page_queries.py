@@ -88,33 +88,33 @@ def q20_absolutize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q21_link_inventory(spark: SparkSession, d: str) -> DataFrame:
-    rows = _contents(spark, d).select("slug", F.explode(markup.links(F.col("content"))).alias("href"))
-    return rows.groupBy("slug").agg(F.count("*").alias("links"), F.countDistinct("href").alias("targets"))
-
-
-#: Sets of image references.
-SRCSETS = (
-    ("/a.png 1x, /b.png 2x", "one"), ("/s.png 320w, /m.png 640w,/l.png 1280w", "two"), ("data:image/png;base64,AAAA 1x", "three"), ("/q.png?wid=900, /r.png?width=400", "four"),
-    ("/t1.png, /t2.png", "five"), ("", "six"), ("/x.png 1.5x, /y.png 1.25x", "seven"),
-)
+    rows = _rows(spark, d).select("slug", markup.links(F.col("content")).alias("l")).where(F.size("l") > 0)
+    return rows.select("slug", F.size("l").cast("bigint").alias("links"), F.size(F.array_distinct("l")).cast("bigint").alias("targets")).distinct()
 
 
 def q22_best_image(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(SRCSETS, "srcset string, name string")
-    return rows.select("name", markup.best_candidate(markup.srcset_candidates(F.col("srcset"), 4)).alias("best"))
+    """The lines of every order as the candidates of one image: by width, by density, by the size in the address, or plain."""
+    n = F.col("l_linenumber")
+    size = F.col("l_quantity").cast("int").cast("string")
+    url = F.concat(F.lit("/i"), F.col("l_partkey").cast("string"), F.lit(".png"))
+    part = (
+        F.when(n % 4 == 0, F.concat(url, F.lit(" "), size, F.lit("w"))).when(n % 4 == 1, F.concat(url, F.lit("?WID="), size))
+        .when(n % 4 == 2, F.concat(url, F.lit(" "), size, F.lit("x"))).otherwise(url)
+    )
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", part.alias("p"))))["p"]
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(lines, ", ").alias("srcset"))
+    return rows.select("l_orderkey", markup.best_candidate(markup.srcset_candidates(F.col("srcset"), 4)).alias("best"))
 
 
-PAGES_WITH_CHROME = (
-    (1, "> ## Documentation Index\n> Fetch the index\n\n# Title\n\nText\n\n---\n\n# Agent Instructions\nAsk here"),
-    (2, "> For the complete documentation index, see llms.txt\n> A quote of the page\n\nText"),
-    (3, "# Title\n\nText\n\n## Agent Instructions: Querying This Documentation\n\nmore"),
-    (4, "# Agent Instructions for pilots\n\nKept"),
-)
+_TOP = "> ## Documentation Index\n> Fetch the index\n\n"
+_END = "\n\n---\n\n## Agent Instructions: Querying This Documentation\n\nmore"
 
 
 def q23_banner_and_footer(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(PAGES_WITH_CHROME, "page int, body string")
-    return rows.select("page", markup.strip_agent_footer(markup.strip_index_banner(F.col("body"))).alias("body"))
+    """Markdown manuals between the banner of an index and a section for agents, without them again."""
+    body = F.concat(F.lit(_TOP), "content", F.lit(_END))
+    out = markup.strip_agent_footer(markup.strip_index_banner(body))
+    return _rows(spark, d, "markdown").select("slug", F.sha2(out, 256).alias("sha256")).distinct()
 
 
 def q41_merge_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -153,8 +153,6 @@ _SECT = rf"(SELECT slug, unnest(l) AS body, unnest(range(len(l))) AS ord FROM (S
 _UNESC = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 _TITLE = "trim(" + _UNESC.format("regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1)") + ")"
-_SRC = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SRCSETS) + ") AS v(srcset, name)"
-_CHROME = "(VALUES " + ", ".join("({}, '{}')".format(n, t.replace("\n", "|")) for n, t in PAGES_WITH_CHROME) + ") AS v(page, body)"
 _VIS = r"trim(regexp_replace(regexp_replace(" + _STRIP + r", '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
 
 SQL = {
@@ -169,14 +167,12 @@ SQL = {
     "q19_visible_chars": f"SELECT slug, length({_VIS.format('content')})::BIGINT AS chars FROM {_C}",
     "q20_absolutize": r"""SELECT slug, sha256(regexp_replace(regexp_replace(content, '\]\((/[^)]*)\)', '](https://origin.example\1)', 'g'), '((?:src|href)=["''])(/[^"'']*)', '\1https://origin.example\2', 'g')) AS sha256 FROM """ + _C,
     "q21_link_inventory": "SELECT slug, count(*) AS links, count(DISTINCT href) AS targets FROM (SELECT slug, unnest(regexp_extract_all(content, 'href=\"([^\"]*)\"', 1)) AS href FROM " + _C + ") GROUP BY slug",
-    "q22_best_image": rf"""WITH p AS (SELECT name, trim(unnest(string_split(srcset, ','))) AS part FROM {_SRC} WHERE srcset NOT LIKE '%data:%'),
-c AS (SELECT name, regexp_extract(part, '^(\S+)', 1) AS u, try_cast(nullif(regexp_extract(part, '\s(\d+)w$', 1), '') AS BIGINT) AS w, try_cast(nullif(regexp_extract(part, '\s(\d+(?:\.\d+)?)x$', 1), '') AS DOUBLE) AS x FROM p WHERE part <> ''),
-r AS (SELECT name, u, coalesce(w, try_cast(nullif(regexp_extract(u, '[?&](?:wid|width|w)=(\d+)', 1), '') AS BIGINT), 0) AS w, coalesce(x, 1.0) AS x FROM c)
-SELECT name, u AS best FROM (SELECT v.name, u, row_number() OVER (PARTITION BY v.name ORDER BY w DESC NULLS LAST, x DESC, u DESC) AS n FROM {_SRC} LEFT JOIN r USING (name)) WHERE n = 1""",
-    "q23_banner_and_footer": rf"""WITH t AS (SELECT page::INT AS page, replace(body, '|', chr(10)) AS body FROM {_CHROME}),
-b AS (SELECT page, regexp_replace(body, '(?m)^(?:> ## Documentation Index[^\n]*\n(?:>[^\n]*\n?)*|> For the complete documentation index[^\n]*\n)\n*', '', 'g') AS body FROM t),
-f AS (SELECT page, regexp_replace(regexp_replace(body, '(?s)\n#{{1,6}}\s+Agent Instructions(?::\s+Querying This Documentation)?\s*\n.*$', ''), '\s+$', '') AS body FROM b)
-SELECT page, CASE WHEN body LIKE '%---' THEN regexp_replace(regexp_replace(body, '---$', ''), '\s+$', '') ELSE body END AS body FROM f""",
+    "q22_best_image": """WITH c AS (SELECT l_orderkey, l_quantity::INT AS q, l_linenumber % 4 AS k, '/i' || l_partkey || '.png' AS u FROM lineitem)
+SELECT l_orderkey, max(struct_pack(w := CASE WHEN k < 2 THEN q ELSE 0 END, x := CASE WHEN k = 2 THEN q ELSE 0 END, u := CASE WHEN k = 1 THEN u || '?WID=' || q ELSE u END)).u AS best FROM c GROUP BY l_orderkey""",
+    "q23_banner_and_footer": rf"""WITH t AS (SELECT slug, '> ## Documentation Index' || chr(10) || '> Fetch the index' || chr(10) || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Agent Instructions: Querying This Documentation' || chr(10) || chr(10) || 'more' AS body FROM {_C} WHERE kind = 'markdown'),
+b AS (SELECT slug, regexp_replace(body, '(?m)^(?:> ## Documentation Index[^\n]*\n(?:>[^\n]*\n?)*|> For the complete documentation index[^\n]*\n)\n*', '', 'g') AS body FROM t),
+f AS (SELECT slug, regexp_replace(regexp_replace(body, '(?s)\n#{{1,6}}\s+Agent Instructions(?::\s+Querying This Documentation)?\s*\n.*$', ''), '\s+$', '') AS body FROM b)
+SELECT slug, sha256(CASE WHEN body LIKE '%---' THEN regexp_replace(regexp_replace(body, '---$', ''), '\s+$', '') ELSE body END) AS sha256 FROM f""",
     "q41_merge_markdown": f"SELECT slug, len(string_split(content, chr(10)||chr(10)||'---'||chr(10)||chr(10)))::BIGINT AS pages, sha256(content) AS sha256 FROM {_C} WHERE kind = 'markdown'",
     "q41_merge_html": f"""WITH s AS (SELECT slug, body, ord, regexp_extract(body, '<h[1-6]>([^<]*)</h[1-6]>', 1) AS t FROM {_SECT}),
 g AS (SELECT slug, count(*) AS pages, string_agg(body, chr(10) ORDER BY ord) AS b, {_ESC.format("arg_min(t, ord) || ' Help'")} AS name FROM s GROUP BY slug)

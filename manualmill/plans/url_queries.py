@@ -118,9 +118,8 @@ def q11_capped_sites(spark: SparkSession, d: str) -> DataFrame:
 
 def q24_natural_sort(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_name", F.concat("p_type", F.lit(" "), F.col("p_size").cast("string")).alias("name")).select("name").distinct()
-    from pyspark.sql import Window
-
-    return rows.select("name", F.row_number().over(Window.orderBy(urls.natural_key(F.col("name")), "name")).cast("bigint").alias("ord"))
+    out = numbered(rows.withColumn("k", urls.natural_key(F.col("name"))), [], ["k", "name"])
+    return out.select("name", (F.col("ord") + 1).alias("ord"))
 
 
 def q46_system_slugs(spark: SparkSession, d: str) -> DataFrame:
@@ -135,11 +134,17 @@ def q47_folded_slugs(spark: SparkSession, d: str) -> DataFrame:
     return titles.select("title", systems.folded_slug(F.col("title")).alias("title_slug"))
 
 
+def q47_repositories(spark: SparkSession, d: str) -> DataFrame:
+    """Owner, name, branch and folder of addresses, read as those of a code host."""
+    r = urls.repository(F.col("source_url"))
+    return _slugs(spark, d).select("slug", "source_url", r["owner"].alias("owner"), r["repo"].alias("repo"), r["branch"].alias("branch"), r["subdir"].alias("subdir"))
+
+
 def q55_image_names(spark: SparkSession, d: str) -> DataFrame:
     return _slugs(spark, d).select("slug", "source_url", urls.image_name(F.col("source_url")).alias("local"))
 
 
-QUERIES = {f.__name__: f for f in (q02_url_parts, q03_slug_from_host, q04_classify_routes, q05_classify_manifests, q06_base_dir, q07_slugify, q08_slug_rules, q09_ordinal_per_site, q10_first_seen, q11_capped_sites, q24_natural_sort, q46_system_slugs, q47_folded_slugs, q55_image_names)}
+QUERIES = {f.__name__: f for f in (q02_url_parts, q03_slug_from_host, q04_classify_routes, q05_classify_manifests, q06_base_dir, q07_slugify, q08_slug_rules, q09_ordinal_per_site, q10_first_seen, q11_capped_sites, q24_natural_sort, q46_system_slugs, q47_folded_slugs, q47_repositories, q55_image_names)}
 
 _S = "(SELECT DISTINCT slug, source_url FROM manifests WHERE source_url IS NOT NULL)"
 _P, _N, _H = _PATH.format(u="source_url"), _NET.format(u="source_url"), _HOST.format(u="source_url")
@@ -169,6 +174,8 @@ SQL = {
   list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(source_url, '/[^/]*$', ''), '/HTML$', ''), '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//[^/?#]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND lower(x) NOT IN ('manual', 'manuals', 'html', 'docs')) AS p FROM {_S}),
 t AS (SELECT *, CASE WHEN lower(last) LIKE '%.pdf' THEN {_SLUG.format("regexp_replace(last, '(?i)\\.pdf$', '')")} ELSE {_SLUG.format("string_split(regexp_replace(net, '^www\\.', ''), '.')[1]")} END AS pdf, coalesce({_SLUG.format('p[-1]')}, '') AS pub, len(l) >= 2 AND regexp_matches(l[1], '^[a-z]{{2}}(?:-[a-z]{{2,4}})?$') AS named FROM s)
 SELECT slug, source_url, CASE WHEN pdf = '' THEN 'manual' ELSE pdf END AS pdf, CASE WHEN pub = '' THEN 'manual' ELSE pub END AS publication, CASE WHEN named THEN l[1] ELSE 'en' END AS language, CASE WHEN named THEN l[2] ELSE 'latest' END AS version FROM t""",
+    "q47_folded_slugs": "SELECT title, nullif(" + _SLUG.format(r"regexp_replace(strip_accents(title), '[^\x00-\x7F]', '', 'g')") + ", '') AS title_slug FROM (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL)",
+    "q47_repositories": f"SELECT slug, source_url, l[1] AS owner, l[2] AS repo, CASE WHEN len(l) >= 4 AND l[3] = 'tree' THEN l[4] END AS branch, CASE WHEN len(l) >= 4 AND l[3] = 'tree' THEN array_to_string(l[5:], '/') ELSE '' END AS subdir FROM (SELECT slug, source_url, list_filter(string_split({_P}, '/'), lambda x: x <> '') AS l FROM {_S})",
     "q55_image_names": rf"""WITH b AS (SELECT slug, source_url, regexp_extract({_P}, '([^/]*)$', 1) AS base FROM {_S}),
 n AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(base, '\.[A-Za-z0-9]+$', ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS stem, lower(regexp_extract(base, '[^.](\.[^./]+)$', 1)) AS suffix FROM b)
 SELECT slug, source_url, CASE WHEN stem = '' THEN 'image' ELSE stem END || CASE WHEN suffix = '.jpeg' THEN '.jpg' WHEN suffix IN ('.png', '.jpg', '.gif', '.webp', '.svg') THEN suffix ELSE '' END AS local FROM n""",

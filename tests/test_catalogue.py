@@ -29,7 +29,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted(str([r[c] for c in columns]) for r in df.collect())
     if name not in catalogue.SQL:
-        assert got or df.columns
+        assert got
         return
     listed = ", ".join(f'"{c}"' for c in columns)
     want = sorted(str(list(r)) for r in duck.execute(f"SELECT {listed} FROM ({catalogue.SQL[name]})").fetchall())
