@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
-from .words import chunks, code_points
+from .words import chunks, code_points, gathered
 
 LOST = 0xFFFD
 # Encodings that UTF-8 is read as by mistake, and pairs (true, read as) of single-byte encodings.
@@ -195,7 +195,7 @@ class Read:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in gathered(batches):
         texts = [Read(t).meant for t in batch.column("text").to_pylist() if "&" in t or not t.isascii()]
         texts = [t for t in texts if not t.isascii()]
         for a, b in chunks(texts):
@@ -205,7 +205,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def usual_pairs(docs: DataFrame, text: str) -> Usual:
     """The counts over all documents; at most CLASSES squared numbers (in practice some ten thousand) come to the driver."""
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession)
     own = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     rows = own.mapInArrow(_count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     return Usual(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
@@ -375,7 +375,7 @@ SCHEMA = "key string, spans long, words long, lost long, text string"
 def _restore_batches(usual, rules: EncodingRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = usual.value
-        for batch in batches:
+        for batch in gathered(batches):
             keys, texts, rows = batch.column("key").to_pylist(), batch.column("text").to_pylist(), []
             for a, b in chunks(texts, 1 << 22):
                 rows += [(key, *r[1:], r[0]) for key, r in zip(keys[a:b], restore_all(texts[a:b], table, rules)) if any(r[1:])]

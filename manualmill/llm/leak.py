@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
-from .words import chunks, hash_words
+from .words import chunks, gathered, hash_words
 
 #: Characters of text in one shard of the index.
 SHARD_CHARS = 1 << 22
@@ -128,7 +128,7 @@ def _search_batches(sent, span: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         real, filled = _padded(p)
-        for batch in batches:
+        for batch in gathered(batches):
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             found: dict[tuple, int] = {}
             for a, b in chunks(texts, SHARD_CHARS):
@@ -158,7 +158,7 @@ def leaks(
     word, in any order.  Items come to the driver in blocks of at most items_at_once; each block is one pass over the
     documents.  NULL and empty texts match nothing; a row that is given twice counts once.
     """
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     asked = items.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     passes, block = [], []

@@ -10,8 +10,7 @@ own order is made canonical (so that moved pages or sections cannot).  Texts tha
 agree in several sketches are candidates; a candidate is verified by the exact share of
 common runs and described by a banded alignment of its word sequences.
 
-Plan: exact copies are folded into classes first; one narrow pass makes
-(sketch, text hash) rows of 16 bytes; candidates come from a self equi-join of these
+Plan: one narrow pass makes (sketch, text hash) rows of 16 bytes, in which exact copies fall together; candidates come from a self equi-join of these
 rows on the sketch value (AQE splits skewed values); only the texts of
 candidates are read again.
 """

@@ -35,8 +35,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boilerplate blocks of every site: their number of lines and the documents of their rarest and commonest line."""
     site = site_lines.sites(table(spark, sf_dir, "manifests"))
-    found = site_lines.repeated_lines(table(spark, sf_dir, "deliverables"), "slug", "content", site)
-    lines = site_lines.blocks(found)
+    lines = site_lines.blocks(site_lines.kept_nodes(table(spark, sf_dir, "deliverables"), "slug", "content", site))
     return lines.groupBy("site", "block").agg(
         F.count("*").alias("n_lines"), F.min("documents").alias("least_documents"), F.max("documents").alias("most_documents")
     )
@@ -70,7 +69,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs of whose runs of five words at least a quarter occurred before."""
-    return _judged(spark, sf_dir).where("is_case").select("slug").distinct()
+    return _judged(spark, sf_dir).where("is_candidate AND is_case").select("slug").distinct()
 
 
 def p6_scored(spark: SparkSession, sf_dir: str) -> DataFrame:

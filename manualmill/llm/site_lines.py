@@ -4,7 +4,7 @@ For every site a graph is built: a node is a line (by its normal form) with the
 number of different documents that hold it as weight, an edge joins lines that
 follow one another in a document.  Nodes and edges of high support are kept,
 their connected components are the site's boilerplate blocks, and every
-occurrence of a kept line is a line to remove.
+occurrence of a line of a block is a line to remove.
 
 Plan: one pass over the texts gives (line hash, document, line number) rows; a
 site's lines are spread by (site, line), so a site that holds a third of all
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -108,27 +108,35 @@ def nodes(rows: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     return each.groupBy("site", "line").agg(F.count("*").alias("documents")).where(F.col("documents") >= rules.least_documents)
 
 
+def kept_nodes(docs: DataFrame, key: str, text: str, site: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """(key, line_no, site, line, documents): the occurrences of the lines of high support in their sites."""
+    rows = occurrences(docs, key, text, site, rules).withColumn("line", F.xxhash64("site", "line"))
+    rows = checkpointed(rows.select("key", "site", "line", "line_no").distinct())
+    kept = checkpointed(nodes(rows, rules).select("line", "documents"))
+    return checkpointed(rows.join(_bounded(kept, rules), "line").select("key", "line_no", "site", "line", "documents"))
+
+
+def _bounded(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """lines, to be broadcast if there are few; it must be cheap to read again."""
+    return F.broadcast(lines) if lines.limit(rules.broadcast_lines + 1).count() <= rules.broadcast_lines else lines
+
+
 def repeated_lines(docs: DataFrame, key: str, text: str, site: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """(key, line_no, site, line, documents): every occurrence of a line of high support in its site.
+    """(key, line_no, site, line, documents, block): every occurrence of a line of one of its site's boilerplate blocks.
 
+    A block is a component of the graph of kept nodes and edges; a kept line without a strong neighbour is a block of its own.
     NULL and empty texts have none; a row that is given twice counts once; documents without a site have none.
     """
-    rows = occurrences(docs, key, text, site, rules).withColumn("line", F.xxhash64("site", "line"))
-    rows = checkpointed(rows.select("key", "site", "line", "line_no").distinct())
-    kept = checkpointed(nodes(rows, rules).select("line", "documents"))
-    if kept.limit(rules.broadcast_lines + 1).count() <= rules.broadcast_lines:
-        kept = F.broadcast(kept)
-    return rows.join(kept, "line").select("key", "line_no", "site", "line", "documents")
+    found = kept_nodes(docs, key, text, site, rules)
+    member = checkpointed(blocks(found, rules).select("line", "block"))
+    return found.join(_bounded(member, rules), "line").select("key", "line_no", "site", "line", "documents", "block")
 
 
 def blocks(found: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """(site, line, documents, block, block_lines): the kept lines with the boilerplate block they belong to.
 
-    found is what repeated_lines() gives.  Lines are neighbours if no other kept line lies between them in a document.
+    found is what kept_nodes() gives.  Lines are neighbours if no other kept line lies between them in a document.
     """
-    from pyspark.sql import Window
-
-    found = checkpointed(found)
     after = F.lead("line").over(Window.partitionBy("key").orderBy("line_no"))
     pairs = found.select("key", "line", after.alias("next")).where("next IS NOT NULL AND line <> next").distinct()
     edges = pairs.groupBy("line", "next").agg(F.count("*").alias("support"))
@@ -158,7 +166,11 @@ def _drop_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def without_repeated_lines(docs: DataFrame, key: str, text: str, site: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """(key, text, removed): every document once, without its repeated lines; NULL texts stay NULL."""
+    """(key, text, removed): every document once, without the occurrences of its site's boilerplate blocks; NULL texts stay NULL.
+
+    Texts are dealt by key once: repeated rows, told by hash, and what is to be removed meet them there.
+    """
     gone = repeated_lines(docs, key, text, site, rules).groupBy("key").agg(F.collect_set("line_no").alias("gone"))
-    own = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).dropDuplicates(["key", "text"])
+    own = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).withColumn("_id", F.md5("text"))
+    own = own.repartition("key").dropDuplicates(["key", "_id"]).select("key", "text")
     return own.join(gone, "key", "left").mapInArrow(_drop_batches, "key string, text string, removed long")

@@ -3,7 +3,8 @@
 A recursive hierarchy of separators (section, paragraph, sentence, word,
 character) turns a text into atoms that fit the room of a piece; a coarser
 separator is kept wherever its parts fit.  Atoms are packed greedily up to the
-limit, and every piece but the first begins with the last bytes of the piece
+limit; a full piece is cut at the last of its coarsest boundaries in its second half, and
+every piece but the first begins with the last bytes of the piece
 before it.  Sizes and positions are bytes of UTF-8.
 """
 
@@ -92,17 +93,20 @@ def pieces(text: str, kind: str | None, limit: int, overlap: int) -> list[tuple[
     if len(data) <= limit:
         return [(0, 0, len(data), "end")]
     out: list[tuple[int, int, int, str]] = []
-    begin = own = at = 0
-    boundary = LEVELS[0]
+    begin = own = 0
+    held: list[tuple[int, int]] = []  # (end, level) of the atoms of the piece that is open
     for end, level in _atoms(data, 0, len(data), 0, limit - overlap, _patterns(kind)):
-        if end - begin > limit:
-            out.append((begin, own, at, boundary))
-            own = at
-            begin = at - overlap
-            while begin < at and data[begin] & 0xC0 == 0x80:
+        while held and end - begin > limit:
+            full = [(lv, -e) for e, lv in held if 2 * (e - begin) >= limit]
+            lv, cut = min(full) if full else (held[-1][1], -held[-1][0])
+            out.append((begin, own, -cut, LEVELS[min(lv, 4)]))
+            own = -cut
+            begin = own - overlap
+            while begin < own and data[begin] & 0xC0 == 0x80:
                 begin += 1
-        at, boundary = end, LEVELS[min(level, 4)]
-    out.append((begin, own, at, "end"))
+            held = [x for x in held if x[0] > own]
+        held.append((end, level))
+    out.append((begin, own, len(data), "end"))
     return out
 
 

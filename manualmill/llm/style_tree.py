@@ -1,22 +1,24 @@
 """Problem 4, second stage: clean text by a site style tree.
 
-Every document is brought into one plain form first: whatever its markup, headings
-become "# ", list items "- " or "1. ", table rows cells between " | ", code a
-fence, formulas $...$ or $$...$$, all other markup its text.  Its blocks are the
-leaves of a small tree whose inner nodes are the elements (or the block styles)
-they stand in.  The trees of a site are merged: documents that have the
-same path of nodes share that node of the style tree.
-
-The importance of a leaf is one less the entropy of its content over the pages
-that have the node, to the base of their number: content that every page has
-is worth 0, content of one page 1.  A node of many presentations (element
-styles below it) is important for that, and the composite importance of a leaf
-joins both.  Branches of low importance are removed from each page.
-
-Plan: as a content that n pages have is spread evenly over them, its entropy is
-log n, so the merged tree is two counts by (site, path, presentation, content) hashes: one
-narrow shuffle of 40-byte rows with map-side combine, and a hot site is spread over its
-nodes and contents.  Texts move once, for the join with what is to be removed.
+Every document is brought into one plain form first: whatever its markup, headings become "# ", list items "- " or "1. "
+(indented by their depth), table rows "| a | b |" with a line of dashes below a head, code a fence, inline code backticks,
+formulas $...$ or $$...$$, all other markup its text.  Its blocks are the leaves of a tree whose inner nodes are the
+elements that they stand in, each by its path of names from the root, without mere wrappers (body, section, div and the
+like), so that texts of any kind meet.  The trees of a site are merged: documents that have the same path share that node.
+
+Presentation: a node is shown in some way in each page, by the names of its children in order.  Its node importance is the entropy of
+these ways over the pages that have it, to the base of their number.  Content: the importance of a leaf is one
+less the entropy of its content over those pages; content that every page has is worth 0, content of one page 1.
+The composite importance of an inner node of l presentations is (1 - g^l) of its node importance and g^l of the mean importance of
+the leaves below it.  A branch all of whose nodes are of low composite importance is removed whole from each page;
+elsewhere single leaves of low importance are, unless their place, the path with wrappers and classes, is one where several pages
+have other contents and this page alone has this one.
+
+Plan: one pass over the texts writes plain blocks with hashes of their paths and contents to the checkpoint folder.  As a
+content that n pages have is spread evenly over them, its entropy is log n, so the merged tree is counts by
+(site, node, presentation or content): narrow shuffles of 32-byte rows with map-side combine, and a hot site is spread over
+its nodes and contents.  A node's leaves are gathered by their chain of ancestors, not level by level.  Texts move once, for the join with
+what is to be removed.
 """
 
 from __future__ import annotations
@@ -41,8 +43,11 @@ class TreeRules:
     importance: float = 0.3
     #: Pages that must share a node before any of its leaves can be unimportant, and that must share the leaf.
     least_pages: int = 8
-    #: Weight of the node's presentations in the composite importance.
+    #: Weight of a node's presentations in the composite importance of its leaves.
     presentation: float = 0.1
+    #: g of the composite importance of inner nodes; branches of a lower importance than the second go whole.
+    decay: float = 0.9
+    branch: float = 0.15
     #: Blocks of fewer letters and digits are no leaves of the tree.
     least_chars: int = 12
 
@@ -55,10 +60,18 @@ _PRE = re.compile(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", re.I | re.S)
 _KEPT = re.compile("[\x03\x05](\\d+)\x04")
 
 
+#: Elements that are no nodes of their own: what they hold stands in the element around them.
+_TRANSPARENT = frozenset("html head p tbody thead tfoot caption colgroup col dt dd option".split())
+#: Elements that are part of a place but not of the path of a node; lists are there by their items.
+_WRAPPERS = frozenset("body section main article div center ul ol".split())
+
+
 def _without_tags(text: str) -> str:
-    """HTML structure as plain lines; elements that hold blocks leave a path mark."""
+    """HTML structure as plain lines; where an element that holds blocks begins or ends stands a mark with its name."""
+    cells, heads = 0, False  # of the table row that is open
 
     def turn(m: re.Match) -> str:
+        nonlocal cells, heads
         end, name, rest = m.group(1), m.group(2).lower(), m.group(3)
         if name not in HTML_ELEMENTS:
             return m.group(0)
@@ -67,8 +80,12 @@ def _without_tags(text: str) -> str:
         if name == "li":
             return "\n" if end else "\n- "
         if name == "tr":
-            return "\n" if end else "\n| "
+            if not end:
+                cells, heads = 0, False
+                return "\n| "
+            return "\n" + "| --- " * cells + "|\n" if heads and cells else "\n"
         if name in ("td", "th"):
+            cells, heads = cells + (not end), heads or name == "th"
             return " |" if end else " "
         if name == "br":
             return "\n"
@@ -77,12 +94,16 @@ def _without_tags(text: str) -> str:
         if name == "img":
             found = {a.group(1).lower(): a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTRIBUTE.finditer(rest)}
             return found.get("alt", "")
+        if name == "code":
+            return "`"
         if name in INLINE_ELEMENTS:
             return ""
-        if end or name in ("html", "head", "body", "ul", "ol", "p", "table", "tbody", "thead") and "class" not in rest:
+        if name in _TRANSPARENT:
             return "\n\n"
+        if end:
+            return f"\n\n\x01-{name}\x02"
         kind = next((a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTRIBUTE.finditer(rest) if a.group(1).lower() == "class"), "")
-        return f"\n\n\x01{name}{'.' + '.'.join(kind.split()) if kind else ''}\x02"
+        return "\n\n\x01" + ".".join([f"+{name}", *kind.split()]) + "\x02"
 
     return _TAG.sub(turn, text)
 
@@ -102,6 +123,7 @@ def _template(m: re.Match) -> str:
 
 def _wiki_table(m: re.Match) -> str:
     rows: list[list[str]] = [[]]
+    heads: set[int] = set()
     for line in m.group(0).split("\n")[1:]:
         if line.startswith("|}"):
             break
@@ -109,7 +131,10 @@ def _wiki_table(m: re.Match) -> str:
             rows.append([])
         elif line[:1] in "|!" and line:
             rows[-1] += [c.strip() for c in re.split(r"\|\||!!", line.lstrip("|!+"))]
-    return "\n\n" + "\n".join("| " + " | ".join(r) + " |" for r in rows if r) + "\n\n"
+            if line[0] == "!":
+                heads.add(len(rows) - 1)
+    lines = ["| " + " | ".join(r) + " |" + ("\n" + "| --- " * len(r) + "|" if k in heads else "") for k, r in enumerate(rows) if r]
+    return "\n\n" + "\n".join(lines) + "\n\n"
 
 
 def _heading(level: int) -> str:
@@ -146,7 +171,7 @@ _MARKDOWN = [
     (re.compile(r"(?<![\w\]])\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), lambda m: m.group(1)),
     (re.compile(r"^(?=[^\n]*[^\W_])(?![ \t#>|\-])([^\n|]+)\n {0,3}(={3,}|-{3,})[ \t]*$", re.M), lambda m: _heading(1 if m.group(2)[0] == "=" else 2) + m.group(1) + "\n"),
     (re.compile(r"^( {0,3}#{1,6})[ \t]+([^\n]*?)[ \t]+#+[ \t]*$", re.M), lambda m: f"{m.group(1).strip()} {m.group(2)}"),
-    (re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", re.M), lambda m: ""),
+    (re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$", re.M), lambda m: "| --- " * len(re.findall("-+", m.group(0))) + "|"),
     (re.compile(r"~~(?=[^\s~])([^~\n]+?)(?<=[^\s~])~~"), lambda m: m.group(1)),
     (re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\1(?![*\w])"), lambda m: m.group(2)),
     (re.compile(r"(?<![\w\\/.])(_{1,2})(?=[^\s_])([^_\n]+?)(?<=[^\s_])\1(?![\w(/])"), lambda m: m.group(2)),
@@ -159,8 +184,12 @@ _MARKDOWN_SIGNS = (
 )
 
 
+#: Inline code, in backticks; what is in it is no markup.
+_INLINE_CODE = re.compile(r"(?<![`\\])`(?=[^`\s])[^`\n\x01-\x05]*(?<=[^`\s])`(?!`)")
+
+
 def plain_form(kind: str | None, text: str) -> str:
-    """The text in the plain form; "\\x01path\\x02" marks before a block stay, for the tree."""
+    """The text in the plain form; marks "\\x01+name\\x02" and "\\x01-name\\x02" of elements stay, for the tree."""
     text = text.replace("\r\n", "\n").replace("\x01", " ").replace("\x02", " ").replace("\x03", " ").replace("\x04", " ").replace("\x05", " ")
     kept: list[str] = []
 
@@ -180,11 +209,13 @@ def plain_form(kind: str | None, text: str) -> str:
         text = re.sub(r"(?:^(?: {4}|\t)[^\n\f]*(?:\n|\Z))+", lambda m: code(re.sub(r"(?m)^(?: {4}|\t)", "", m.group(0))), text, flags=re.M) if _INDENTED.search(text) else text
     elif kind != "html":
         text = _FENCE.sub(fenced, text)
+        text = _INLINE_CODE.sub(lambda m: keep(m.group(0)), text) if "`" in text else text
     if "<" in text:
         text = _DROP.sub("", _COMMENT.sub("", text))
         text = _PRE.sub(lambda m: code(html.unescape(_TAG.sub("", m.group(1)))), text)
         text = _without_tags(text)
     text = html.unescape(text) if "&" in text else text
+    text = _INLINE_CODE.sub(lambda m: keep(m.group(0)), text) if "`" in text else text
     text = text.replace("\f", "\n\n").replace("\n\n---\n\n", "\n\n")
     if "\\" in text:
         for pattern, around, sign, body in _FORMULA:
@@ -199,40 +230,76 @@ def plain_form(kind: str | None, text: str) -> str:
 
 
 _LIST = re.compile(r"[-*+] |\d+[.)] ")
+_DASHES = re.compile(r"[|\- ]+")
+_MARK = re.compile("\x01([+-])([^\x02]*)\x02")
+STYLES = {"h": "h", "li": "l", "row": "r", "rule": "-", "quote": "q", "code": "c", "p": "p"}
 
 
-def blocks(kind: str | None, text: str) -> list[tuple[str, str]]:
-    """(path, block) of the text in reading order; the path is the elements or styles the block stands in."""
-    out: list[tuple[str, str]] = []
+def _level(indents: list[int], width: int) -> int:
+    """Depth of a list item by its indent, among the items around it that are still open."""
+    while indents and indents[-1] >= width:
+        indents.pop()
+    indents.append(width)
+    return len(indents) - 1
+
+
+def blocks(kind: str | None, text: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str]]:
+    """(place, path, block) of the text in reading order: the elements with classes that the block stands in, those of them that are
+    nodes, each with the style of the block, and the block.
+
+    List items are indented by two spaces for each list around theirs.  A line that goes on an item, in HTML any, else one that is
+    indented, is part of it.
+    """
+    out: list[tuple[tuple[str, ...], tuple[str, ...], str]] = []
     plain = plain_form(kind, text)
-    place = ""
-    for part in re.split(r"(?s)(```\n.*?\n```)|\n\s*\n", plain):
+    open_: list[str] = []
+    path: tuple[str, ...] = ()
+    nested = 0
+    for part in re.split(r"(?s)(```\n.*?\n```)|\n\s*\n(?=\S)|\n\s*\n", plain):
         if not part:
             continue
         if part.startswith("```"):
-            out.append((f"{place}/code", part))
+            out.append(((*open_, "code"), (*path, "code"), part))
             continue
-        if marks := re.findall("\x01([^\x02]*)\x02", part):
-            place, part = marks[-1], re.sub("\x01[^\x02]*\x02", "", part)
-        else:
-            place = ""
-        lines: list[str] = []
-        for line in part.split("\n"):
-            line = " ".join(line.split())
-            if not line.strip("#-|> "):
+        if "\x01" in part:
+            for sign, name in _MARK.findall(part):
+                if sign == "+":
+                    open_.append(name)
+                else:  # the end of an element that is not open changes nothing
+                    at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k].split(".")[0] == name), None)
+                    open_ = open_[:at] if at is not None else open_
+            part = _MARK.sub("", part)
+            names = [n.split(".")[0] for n in open_]
+            path = tuple(n for n in names if n not in _WRAPPERS)
+            nested = max(0, sum(n in ("ul", "ol") for n in names) - 1)
+        lines: list[tuple[str, str, int]] = []  # style, text, depth
+        indents: list[int] = []
+        for raw in part.split("\n"):
+            line = " ".join(raw.split())
+            if not line.strip("#-|> ") and not (line[:1] == "|" and "-" in line and lines and lines[-1][0] == "row"):
                 continue
-            single = line[0] in "#|" or _LIST.match(line)
-            if lines and (single or lines[-1][0] in "#|" or _LIST.match(lines[-1])):
-                lines.append(line)
-            elif lines:
-                lines[-1] += " " + line
+            if line[0] == "#":
+                style = "h"
+            elif line[0] == "|":
+                style = "rule" if _DASHES.fullmatch(line) else "row"
+            elif _LIST.match(line):
+                style = "li"
             else:
-                lines.append(line)
-        for line in lines:
-            style = "h" if line[0] == "#" else "row" if line[0] == "|" else "quote" if line[0] == ">" else "li" if _LIST.match(line) else "p"
+                style = "quote" if line[0] == ">" else "p"
+            if style in ("h", "row", "rule"):
+                lines.append((style, line, 0))
+            elif style == "li":
+                width = len(raw.expandtabs(4)) - len(raw.expandtabs(4).lstrip())
+                lines.append((style, line, nested + _level(indents, width)))
+            elif lines and (lines[-1][0] in ("p", "quote") or lines[-1][0] == "li" and (kind == "html" or raw[:1] in " \t")):
+                lines[-1] = (lines[-1][0], f"{lines[-1][1]} {line}", lines[-1][2])
+            else:
+                lines.append((style, line, 0))
+        for style, line, depth in lines:
             if style == "row":
-                line = " | ".join(c.strip() for c in line.strip("|").split("|"))
-            out.append((f"{place}/{style}", line))
+                line = "| " + " | ".join(c.strip() for c in line.strip("| ").split("|")) + " |"
+            own = ("li",) * (depth if style == "li" else 0) + (style,)
+            out.append(((*open_, *own), (*path, *own), "  " * depth + line))
     return out
 
 
@@ -240,71 +307,137 @@ def _leaf(block: str) -> str:
     return re.sub(r"[\W_]+", "", block.lower())
 
 
-def _leaf_batches(rules: TreeRules):
-    digest = xxhash.xxh3_64_intdigest
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+PARSED = (
+    "key string, text_id binary, is_null boolean, blocks array<string>, styles string, places array<long>, paths array<long>, leaves array<long>, "
+    "nodes array<struct<path:long,look:long,chain:array<long>>>"
+)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _tree(kind: str | None, text: str, rules: TreeRules) -> tuple:
+    """The columns of PARSED from blocks on: the leaves of a document and its inner nodes.
+
+    A node is the hash of its path; chain holds its own and those above it, without the root; look is the hash of the
+    names of its children in order, equal neighbours taken together, as a list of three items is shown like one of five.
+    """
+    digest = lambda x: _signed(xxhash.xxh3_64_intdigest("\x00".join(x)))
+    tree = blocks(kind, text)
+    known: dict[tuple[str, ...], int] = {}
+    children: dict[tuple[str, ...], list[str]] = {}
+    places, paths, leaves = [], [], []
+    last: tuple[str, ...] = ()
+    for place, path, block in tree:
+        for k in range(1, len(path) + 1):
+            if path[:k] not in known:
+                known[path[:k]] = digest(path[:k])
+        # What is new against the block before is shown in the node where they part.
+        part = next((k for k, (x, y) in enumerate(zip(path, last)) if x != y), min(len(path), len(last)))
+        for k in range(min(part, len(path) - 1), len(path)):
+            shown = children.setdefault(path[:k], [])
+            shown += [path[k]] if not shown or shown[-1] != path[k] else []
+        last = path
+        form = _leaf(block)
+        places.append(digest(place))
+        paths.append(known[path])
+        leaves.append(digest([form]) if len(form) >= rules.least_chars else 0)
+    nodes = [{"path": h, "look": digest(children.get(p, ["text"])), "chain": [known[p[:k]] for k in range(len(p), 0, -1)]} for p, h in known.items()]
+    return [b for _, _, b in tree], "".join(STYLES[p[-1]] for _, p, _ in tree), places, paths, leaves, nodes
+
+
+def _parse_batches(rules: TreeRules):
+    node = pa.struct([("path", pa.int64()), ("look", pa.int64()), ("chain", pa.list_(pa.int64()))])
+    types = [pa.string(), pa.binary(), pa.bool_(), pa.list_(pa.string()), pa.string(), *[pa.list_(pa.int64())] * 3, pa.list_(node)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, kind, text in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "text"))):
-                seen = set()
-                tree = blocks(kind, text)
-                for at, (path, block) in enumerate(tree):
-                    form = _leaf(block)
-                    if len(form) >= rules.least_chars:
-                        # The presentation of a leaf: the styles around it.
-                        around = "|".join(p for p, _ in tree[max(0, at - 1) : at + 2])
-                        seen.add((signed(digest(path)), signed(digest(form)), signed(digest(around))))
-                rows += [(key, *s) for s in seen]
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "path", "leaf", "style"])
+                mark = xxhash.xxh3_128_digest(f"{kind}\x00{text}".encode("utf-8", "surrogatepass"))
+                rows.append((key, mark, text is None, *_tree(kind, text or "", rules)))
+            columns = list(zip(*rows)) if rows else [[]] * len(types)
+            names = ["key", "text_id", "is_null", "blocks", "styles", "places", "paths", "leaves", "nodes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return run
 
 
-def unimportant(docs: DataFrame, key: str, kind: str, text: str, site: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
-    """(key, path, leaf): the leaves of each document, with their nodes, that its site's style tree finds unimportant."""
+def parsed(docs: DataFrame, key: str, kind: str, text: str, rules: TreeRules = TreeRules()) -> DataFrame:
+    """PARSED with row, a number of each row: the plain blocks of every document and the nodes of its tree, written once."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(text).alias("text"))
-    rows = own.where("key IS NOT NULL AND text IS NOT NULL").mapInArrow(_leaf_batches(rules), "key string, path long, leaf long, style long")
-    rows = rows.join(site.where("site IS NOT NULL").withColumnRenamed("slug", "key"), "key")
-    rows = checkpointed(rows.select("key", F.xxhash64("site", "path").alias("node"), "path", "leaf", "style").distinct())
-    pages = rows.select("node", "key").distinct().groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") >= rules.least_pages)
-    styles = rows.groupBy("node", "style").agg(F.count("*").alias("s"))
-    total = styles.groupBy("node").agg(F.sum("s").alias("t"), F.sum(F.col("s") * F.log("s")).alias("slogs"))
-    # Entropy of the presentations: log t - (sum of s log s) / t, to the base of the number of pages.
-    node = pages.join(total, "node").select("node", "m", ((F.log("t") - F.col("slogs") / F.col("t")) / F.log("m")).alias("look"))
-    leaf = rows.select("node", "leaf", "key").distinct().groupBy("node", "leaf").agg(F.count("*").alias("n")).where(F.col("n") >= rules.least_pages)
-    content = 1 - F.log("n") / F.log("m")
-    importance = (1 - rules.presentation) * content + rules.presentation * F.least(F.lit(1.0), F.col("look"))
-    low = leaf.join(node, "node").where(importance < rules.importance).select("node", "leaf")
-    return rows.join(low, ["node", "leaf"]).select("key", "path", "leaf").distinct()
+    return checkpointed(own.mapInArrow(_parse_batches(rules), PARSED).withColumn("row", F.monotonically_increasing_id()))
+
+
+def importance(trees: DataFrame, site: DataFrame, rules: TreeRules = TreeRules()) -> tuple[DataFrame, DataFrame]:
+    """(leaves, branches) of the merged trees: (site, path, leaf, importance) of contents that several pages have at a node,
+    and (site, path, importance) of inner nodes of which no part is important."""
+    own = trees.where("key IS NOT NULL AND NOT is_null").join(site.where("site IS NOT NULL").select(F.col("slug").alias("key"), "site"), "key")
+    # A document that is given twice counts once.
+    nodes = checkpointed(own.select("key", "site", F.explode("nodes").alias("n")).select("site", "key", "n.path", "n.look", "n.chain").distinct())
+    contents = own.select("key", "site", F.inline(F.arrays_zip("paths", "leaves"))).where("leaves <> 0")
+    contents = contents.select("site", "key", F.col("paths").alias("path"), F.col("leaves").alias("leaf")).distinct()
+    pages = nodes.groupBy("site", "path", "look").agg(F.countDistinct("key").alias("s"), F.min("chain").alias("chain"))
+    pages = pages.groupBy("site", "path").agg(F.sum("s").alias("m"), F.sum(F.col("s") * F.log("s")).alias("logs"), F.count("*").alias("ways"), F.min("chain").alias("chain"))
+    # Entropy of the presentations to the base of the number of pages; a node of one page tells nothing and counts as important.
+    look = F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), (F.log("m") - F.col("logs") / F.col("m")) / F.log("m")))
+    pages = checkpointed(pages.select("site", "path", "m", "ways", "chain", look.alias("look")))
+    counts = contents.groupBy("site", "path", "leaf").agg(F.count("*").alias("n"))
+    worth = F.when(F.col("m") < 2, 1.0).otherwise(1 - F.least(F.lit(1.0), F.log("n") / F.log("m")))
+    leaves = checkpointed(counts.join(pages.select("site", "path", "m", "look", "chain"), ["site", "path"]).withColumn("worth", worth))
+    below = leaves.select("site", F.explode("chain").alias("path"), "n", "worth").groupBy("site", "path").agg((F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("mean"))
+    fade = F.pow(F.lit(rules.decay), F.col("ways"))
+    inner = pages.join(below, ["site", "path"]).withColumn("importance", (1 - fade) * F.col("look") + fade * F.col("mean"))
+    # A branch is as important as its most important part.
+    most = inner.select("site", F.explode("chain").alias("path"), "importance", F.col("m").alias("mm")).groupBy("site", "path").agg(F.max("importance").alias("most"), F.min("mm").alias("fewest"))
+    branches = inner.join(most, ["site", "path"]).where((F.col("most") < rules.branch) & (F.col("m") >= rules.least_pages)).select("site", "path", F.col("most").alias("importance"))
+    own_worth = (1 - rules.presentation) * F.col("worth") + rules.presentation * F.col("look")
+    low = leaves.where((F.col("n") >= rules.least_pages) & (F.col("m") >= rules.least_pages)).select("site", "path", "leaf", own_worth.alias("importance"))
+    return low.where(F.col("importance") < rules.importance), branches
+
+
+def unimportant(trees: DataFrame, site: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
+    """(key, gone, branches): what is to be removed from each document: (place, leaf) pairs and paths of nodes."""
+    low, branches = importance(trees, site, rules)
+    own = trees.where("key IS NOT NULL AND NOT is_null").join(site.where("site IS NOT NULL").select(F.col("slug").alias("key"), "site"), "key")
+    has = own.select("key", "site", F.inline(F.arrays_zip("places", "paths", "leaves"))).where("leaves <> 0")
+    has = checkpointed(has.select("key", "site", F.col("places").alias("place"), F.col("paths").alias("path"), F.col("leaves").alias("leaf")).distinct())
+    found = has.join(low.select("site", "path", "leaf"), ["site", "path", "leaf"])
+    # Contents that one page alone has in a place where several pages have others are its own.
+    several = has.select("site", "place", "key").distinct().groupBy("site", "place").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= rules.least_pages)
+    alone = found.groupBy("site", "place", "leaf").agg(F.count("*").alias("_n")).where("_n = 1")
+    proper = alone.join(several, ["site", "place"]).select("site", "place", "leaf")
+    leaf = found.join(proper, ["site", "place", "leaf"], "left_anti").select("key", F.struct("place", "leaf").alias("l"), F.lit(None).cast("long").alias("b"))
+    node = own.select("key", "site", F.explode("nodes.path").alias("path")).join(branches.select("site", "path"), ["site", "path"])
+    both = leaf.unionByName(node.select("key", F.lit(None).cast("struct<place:long,leaf:long>").alias("l"), F.col("path").alias("b")))
+    return both.groupBy("key").agg(F.collect_set("l").alias("gone"), F.collect_set("b").alias("branches"))
 
 
 CLEAN = "key string, text string, headings int, list_items int, table_rows int, code_blocks int, formulas int, removed int"
 
 
 def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     for batch in batches:
         rows = []
-        for key, kind, text, gone in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "text", "gone"))):
-            if text is None:
+        names = ("key", "is_null", "blocks", "styles", "places", "paths", "leaves", "nodes", "gone", "branches")
+        for key, null, texts, styles, places, paths, leaves, nodes, gone, branches in zip(*(batch.column(c).to_pylist() for c in names)):
+            if null:
                 rows.append((key, None, 0, 0, 0, 0, 0, 0))
                 continue
-            drop = {(g["path"], g["leaf"]) for g in gone or ()}
-            tree = blocks(kind, text)
-            left = [(p, b) for p, b in tree if not drop or (signed(digest(p)), signed(digest(_leaf(b)))) not in drop]
-            count = {s: sum(p.endswith(f"/{s}") for p, _ in left) for s in ("h", "li", "row", "code")}
+            drop, cut = {(g["place"], g["leaf"]) for g in gone or ()}, set(branches or ())
+            inside = {n["path"] for n in nodes if not cut.isdisjoint(n["chain"])} if cut else set()
+            left = [(s, p, b) for s, at, p, f, b in zip(styles, places, paths, leaves, texts) if (at, f) not in drop and p not in inside]
+            # A line of dashes stays only below the head that it belongs to.
+            left = [x for k, x in enumerate(left) if x[0] != "-" or k and left[k - 1][0] == "r"]
             out = ""
-            for k, (p, b) in enumerate(left):
-                close = k and p == left[k - 1][0] and p.endswith(("/li", "/row"))
+            for k, (s, _, b) in enumerate(left):
+                close = k and s in "lr-" and (left[k - 1][0] == s or {s, left[k - 1][0]} == {"r", "-"})
                 out += ("" if not k else "\n" if close else "\n\n") + b
-            formulas = sum(len(_IS_FORMULA.findall(b)) for p, b in left if "$" in b and not p.endswith("/code"))
-            rows.append((key, out, count["h"], count["li"], count["row"], count["code"], formulas, len(tree) - len(left)))
+            count = {s: sum(x[0] == s for x in left) for s in "hlrc"}
+            formulas = sum(len(_IS_FORMULA.findall(b)) for s, _, b in left if "$" in b and s != "c")
+            rows.append((key, out, count["h"], count["l"], count["r"], count["c"], formulas, len(texts) - len(left)))
         types = [pa.string(), pa.string(), *[pa.int32()] * 6]
         columns = list(zip(*rows)) if rows else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in CLEAN.split(", ")])
@@ -316,6 +449,7 @@ def cleaned(docs: DataFrame, key: str, kind: str, text: str, site: DataFrame, ru
     NULL texts stay NULL, empty ones empty.  Documents of unknown kind are read as Markdown; documents without a site
     are converted and keep all their blocks; a row given twice counts once.
     """
-    gone = unimportant(docs, key, kind, text, site, rules).groupBy("key").agg(F.collect_set(F.struct("path", "leaf")).alias("gone"))
-    own = docs.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(text).alias("text")).dropDuplicates(["key", "kind", "text"])
-    return own.join(gone, "key", "left").mapInArrow(_clean_batches, CLEAN)
+    trees = parsed(docs, key, kind, text, rules)
+    once = trees.groupBy("key", "text_id").agg(F.min("row").alias("row"))
+    what = once.join(unimportant(trees, site, rules), "key", "left").select("row", "gone", "branches")
+    return trees.join(what, "row").select("key", "is_null", "blocks", "styles", "places", "paths", "leaves", "nodes", "gone", "branches").mapInArrow(_clean_batches, CLEAN)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 TAG = re.compile(r"<[A-Za-z/!][^<>]*>")
 #: Characters handled in one pass; bounds the memory of the arrays below.
@@ -76,6 +77,21 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in larger ones, of at most so many rows and about so many bytes (a longer row stands alone)."""
+    held: list[pa.RecordBatch] = []
+    count = total = 0
+    for batch in batches:
+        if held and (count + batch.num_rows > rows or total + batch.nbytes > size):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count, total = [], 0, 0
+        if batch.num_rows:
+            held.append(batch)
+            count, total = count + batch.num_rows, total + batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def hash_words(texts: list[str | None], tags: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and for each text where its words begin (one more at the end).
 

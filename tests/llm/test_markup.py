@@ -32,11 +32,11 @@ def test_no_residue(kind, text):
 
 def test_plain_form_keeps_structure():
     text = "## A '''b'''\n\n- x <b>y</b>\n\n```\n<b>$HOME</b>\n```\n\n\\begin{equation}\na = \\sqrt{2}\n\\end{equation}\n\n| h | i |\n|---|---|\n| 1 | 2 |\n\n{| \n|-\n| p || q\n|}\n\n\\section{End}\n\nsee \\(x \\leq y\\) &amp; [[C|d]]"
-    got = [b for _, b in blocks("markdown", text)]
-    assert got == ["## A b", "- x y", "```\n<b>$HOME</b>\n```", "$$a = \\sqrt{2}$$", "h | i", "1 | 2", "p | q", "## End", "see $x \\leq y$ & d"]
+    got = [b for *_, b in blocks("markdown", text)]
+    assert got == ["## A b", "- x y", "```\n<b>$HOME</b>\n```", "$$a = \\sqrt{2}$$", "| h | i |", "| --- | --- |", "| 1 | 2 |", "| p | q |", "## End", "see $x \\leq y$ & d"]
     html = "<html><head><title>t</title></head><body><section><h2>A</h2><ul><li>x</li><li>y</li></ul><table><tr><td>1</td><td>2</td></tr></table><pre><code>a &lt; b</code></pre><footer>f</footer></section>"
     got = blocks("html", html)
-    assert [b for _, b in got] == ["## A", "- x", "- y", "1 | 2", "```\na < b\n```", "f"] and got[-1][0] == "footer/p"
+    assert [b for *_, b in got] == ["## A", "- x", "- y", "| 1 | 2 |", "```\na < b\n```", "f"] and got[-1][:2] == (("body", "section", "footer", "p"), ("footer", "p"))
     assert blocks("pdf", "") == []
 
 
@@ -63,6 +63,36 @@ def test_only_the_unimportant_place_of_a_leaf_goes(spark):
     assert out["s3"].text == "## Getting started guide\n\nText of 3 and no other" and {r.removed for r in out.values()} == {1}
 
 
+SIDE = "Every page has this sentence in its sidebar"
+
+
+@pytest.mark.parametrize("around", ["ul", "ol"])
+def test_a_sentence_of_the_sidebar_stays_in_the_article(spark, around):
+    page = lambda k: f'<div class="side"><{around}><li>{SIDE}</li></{around}></div><div class="article"><{around}><li>{SIDE if k == 5 else f"Item {k} that no other page has"}</li></{around}></div>'
+    docs = [(f"s{k}", "html", page(k)) for k in range(12)]
+    site = site_lines.sites(spark.createDataFrame([(d[0], "https://a.example/", "x") for d in docs], "slug string, source_url string, ingested_at string"))
+    out = {r.key: r.text for r in style_tree.cleaned(spark.createDataFrame(docs, "slug string, kind string, content string"), "slug", "kind", "content", site).collect()}
+    assert out == {f"s{k}": f"- {SIDE if k == 5 else f'Item {k} that no other page has'}" for k in range(12)}
+
+
+def test_a_branch_of_low_importance_goes_whole(spark):
+    # The number of the page is unique, but it is a small part of a branch that every page has.
+    chrome = "".join(f"<p>Link number {n} of the footer of all the pages</p>" for n in range(20))
+    docs = [(f"s{k}", "html", f"<p>Only in manual {k} of them all, number {k * k}</p><footer><div>{chrome}</div><h3>Footer heading of all pages</h3><p>v {k}</p></footer>") for k in range(12)]
+    site = site_lines.sites(spark.createDataFrame([(d[0], "https://a.example/", "x") for d in docs], "slug string, source_url string, ingested_at string"))
+    out = {r.key: r.text for r in style_tree.cleaned(spark.createDataFrame(docs, "slug string, kind string, content string"), "slug", "kind", "content", site).collect()}
+    assert out == {f"s{k}": f"Only in manual {k} of them all, number {k * k}" for k in range(12)}
+
+
+def test_structure_survives():
+    html = "<ul><li>a<ul><li>b <code>x_y_z</code></li></ul></li><li>c\ngoes on</li></ul><table><tr><th>h</th><th>i</th></tr><tr><td>1</td><td>2</td></tr></table><p>a | b</p>"
+    assert [b for *_, b in blocks("html", html)] == ["- a", "  - b `x_y_z`", "- c goes on", "| h | i |", "| --- | --- |", "| 1 | 2 |", "a | b"]
+    md = "1. x\n   goes on\n   - y `a_b_c` *e*\n     - z\n2. w\n\n| h |\n|:--|\n| 1 |"
+    assert [b for *_, b in blocks("markdown", md)][:4] == ["1. x goes on", "  - y `a_b_c` e", "    - z", "2. w"]
+    wiki = "{|\n! p !! q\n|-\n| 1 || 2\n|}"
+    assert [b for *_, b in blocks("pdf", wiki)] == ["| p | q |", "| --- | --- |", "| 1 | 2 |"]
+
+
 def test_empty_tables_and_clashing_columns(spark):
     docs = spark.createDataFrame([], "slug string, kind string, content string, key int, text int, site int, leaf int, gone int")
     site = site_lines.sites(spark.createDataFrame([], "slug string, source_url string, ingested_at string"))
@@ -90,19 +120,19 @@ FRACTIONS = " + ".join(rf"\frac{{a_{k}}}{{b_{k}}}" for k in range(300))
     ("$$", f"\\begin{{align*}}{FRACTIONS}\\end{{align*}}"), ("$$", "$$\n" + FRACTIONS.replace(" + ", "\n+ ") + "\n$$"),
 ])
 def test_formulas_of_any_length_are_kept(sign, text):
-    (_, block), = blocks("pdf", text)
+    (*_, block), = blocks("pdf", text)
     assert block.replace(f"{sign} ", sign).replace(f" {sign}", sign) == f"{sign}{FRACTIONS}{sign}"
     assert len(style_tree._IS_FORMULA.findall(block)) == 1
 
 
 def test_long_templates_and_headings_are_converted():
-    assert blocks("pdf", "{{Box\n| name = " + "a " * 3000 + "\n}}") == [("/li", "- name : " + "a " * 2999 + "a")]
-    assert blocks("pdf", "word " * 60 + "\n=====\n\ntext")[0] == ("/h", "# " + "word " * 59 + "word")
+    assert blocks("pdf", "{{Box\n| name = " + "a " * 3000 + "\n}}") == [(("li",), ("li",), "- name : " + "a " * 2999 + "a")]
+    assert blocks("pdf", "word " * 60 + "\n=====\n\ntext")[0] == (("h",), ("h",), "# " + "word " * 59 + "word")
 
 
 def test_no_formula_reaches_over_code():
     for a, b in (("$$", "$$"), ("\\[", "\\]"), ("\\begin{equation}", "\\end{equation}")):
-        assert ("/code", "```\nx\n  y\n```") in blocks("markdown", f"a {a} b\n\n```\nx\n  y\n```\n\nc {b} d")
+        assert (("code",), ("code",), "```\nx\n  y\n```") in blocks("markdown", f"a {a} b\n\n```\nx\n  y\n```\n\nc {b} d")
 
 
 @pytest.mark.parametrize("sign", ["\\begin{align} ", "\\[ ", "\\( ", "$$ ", "$a ", "{{a ", "{{a\n|", "\\\\[ ", "a\n"])

@@ -23,6 +23,7 @@ def test_cases_are_those_of_brute_force(spark):
     got = repetition.judged(spark.createDataFrame(data, "slug string, content string"), "slug", "content").collect()
     assert {r.key for r in got if r.is_case} == {k for k, t in data if k and t and brute(t)} and len(got) == 39
     by = {r.key: r for r in got}
+    assert all(r.is_candidate for r in got if r.is_case) and not by["f1"].is_candidate
     assert by["r1"].posterior > 0.9 and by["f1"].posterior < 0.1 and by["few"].run_share is None
 
 

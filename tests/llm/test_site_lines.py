@@ -33,8 +33,10 @@ def test_seven_documents_are_too_few(spark):
 
 def test_blocks_join_lines_that_follow_one_another(spark):
     docs, manifests = frames(spark)
-    found = site_lines.repeated_lines(docs, "slug", "content", site_lines.sites(manifests))
+    found = site_lines.kept_nodes(docs, "slug", "content", site_lines.sites(manifests))
     rows = site_lines.blocks(found).collect()
+    repeated = site_lines.repeated_lines(docs, "slug", "content", site_lines.sites(manifests))
+    assert {r.block for r in repeated.collect()} == {r.block for r in rows} and repeated.count() == found.count()
     assert len(rows) == 2 and len({r.block for r in rows}) == 1 and {r.block_lines for r in rows} == {2} and {r.site for r in rows} == {"host.example"}
 
 
@@ -50,4 +52,4 @@ def test_empty_tables_and_clashing_columns(spark):
     site = site_lines.sites(spark.createDataFrame([], "slug string, source_url string, ingested_at string"))
     assert site_lines.repeated_lines(docs, "slug", "content", site).count() == 0
     assert site_lines.without_repeated_lines(docs, "slug", "content", site).count() == 0
-    assert site_lines.blocks(site_lines.repeated_lines(docs, "slug", "content", site)).count() == 0
+    assert site_lines.blocks(site_lines.kept_nodes(docs, "slug", "content", site)).count() == 0

@@ -1,3 +1,4 @@
+from manualmill.llm import split
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,3 +57,10 @@ def test_table(spark):
 def test_a_very_long_text():
     check("Sentence number one. " * 200_000, "markdown", 12_000, 400)
     check("x" * 3_000_000, "html", 16_000, 600)
+
+
+def test_a_section_end_goes_before_a_sentence():
+    text = "## A\n\n" + "Short one. " * 12 + "\n## B\n\n" + "Another sentence here. " * 40
+    cut = split.pieces(text, "markdown", 220, 20)
+    assert cut[0][3] == "section" and text[: cut[0][2]].endswith("\n") and "## B" not in text[: cut[0][2]]
+    assert all(e - a <= 220 for a, _, e, _ in cut) and cut[-1][2] == len(text) and all(x[2] == y[1] for x, y in zip(cut, cut[1:]))
