@@ -1,8 +1,9 @@
 """Problem 8: evaluation texts leaking into training text, by a positional inverted index.
 
-The index is distributed by document: every task holds the postings (term ->
-positions) of its own chunk of training texts, for the terms of the test items;
-other terms can match nothing.  A test passage is looked up from its rarest
+The index is distributed by document: a shard holds the postings (term ->
+positions) of a chunk of training texts.  For test items that fit one pass the shards are made, for the terms of the items
+only, as the texts go by; for more they are stored once, with all terms, and every pass reads the postings instead of the
+texts.  A test passage is looked up from its rarest
 term: its positions, moved to the start of the passage, are intersected with
 the moved positions of the next rarest term, and so on until none is left or all
 terms agree.  As a document is whole in its shard, no posting is shuffled and no
@@ -13,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
+from ..session import checkpointed, small_batches
 from .words import chunks, gathered, hash_words
 
 #: Characters of text in one shard of the index.
@@ -30,8 +32,8 @@ SHARD_CHARS = 1 << 22
 class LeakRules:
     #: Consecutive words that make a leak; an item with fewer words must be there whole.
     run: int = 12
-    #: Test items searched in one pass; more are searched in further passes.
-    items_at_once: int = 5_000
+    #: Test items searched in one pass; more are searched in further passes over the stored index.
+    items_at_once: int = 20_000
 
 
 @dataclass
@@ -76,6 +78,15 @@ class Postings:
         self.start = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
         self.shifted = offsets[:-1] + np.arange(len(offsets) - 1) * 64
 
+    STORED = "docs array<string>, terms array<long>, start array<int>, positions array<int>, shifted array<int>"
+
+    @classmethod
+    def stored(cls, row: dict) -> Postings:
+        """The postings of a row of a stored index."""
+        self = cls.__new__(cls)
+        self.start, self.positions, self.shifted = (np.asarray(row[c]) for c in ("start", "positions", "shifted"))
+        return self
+
     def of(self, term: int) -> np.ndarray:
         return self.positions[self.start[term] : self.start[term + 1]]
 
@@ -118,33 +129,71 @@ class Postings:
         return hits
 
 
-def _padded(p: Passages) -> tuple[np.ndarray, np.ndarray]:
-    return p.terms >= 0, np.where(p.terms >= 0, p.terms, p.terms[:, :1])
+def _search(p: Passages, index: Postings, ids: list[str], span: int | None, found: dict[tuple, int]) -> None:
+    """Add to found how many passages of an item stand in each text of a shard whose terms have the numbers of p."""
+    real, filled = p.terms >= 0, np.where(p.terms >= 0, p.terms, p.terms[:, :1])
+    # Only passages all of whose terms are in this shard can match.
+    for row in np.flatnonzero((index.frequency()[filled] > 0).all(axis=1)):
+        terms = p.terms[row][real[row]]
+        hits = index.phrase(terms) if span is None else index.near(terms, span)
+        for k in set(index.text_of(hits).tolist()):
+            for item in p.items[row].tolist():
+                found[ids[k], item] = found.get((ids[k], item), 0) + 1
+
+
+def _found_batch(found: dict[tuple, int]) -> pa.RecordBatch:
+    keys = list(found)
+    columns = [pa.array([x for x, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.string()), pa.array(list(found.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "item", "passages"])
 
 
-def _search_batches(sent, span: int | None):
+FOUND = "doc string, item string, passages long"
+
+
+def _text_batches(sent, span: int | None):
     """sent: the broadcast passages, some hundred bytes for each word of the items of one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        real, filled = _padded(p)
         for batch in gathered(batches):
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             found: dict[tuple, int] = {}
             for a, b in chunks(texts, SHARD_CHARS):
-                index = Postings(*hash_words(texts[a:b]), p.vocabulary)
-                # Only passages all of whose terms are in this shard can match.
-                for row in np.flatnonzero((index.frequency()[filled] > 0).all(axis=1)):
-                    terms = p.terms[row][real[row]]
-                    hits = index.phrase(terms) if span is None else index.near(terms, span)
-                    for k in set(index.text_of(hits).tolist()):
-                        for item in p.items[row].tolist():
-                            found[ids[a + k], item] = found.get((ids[a + k], item), 0) + 1
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-                ["doc", "item", "passages"],
-            )
+                _search(p, Postings(*hash_words(texts[a:b]), p.vocabulary), ids[a:b], span, found)
+            yield _found_batch(found)
+
+    return run
+
+
+def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shard, with the postings of all its terms."""
+    types = [pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+    for batch in gathered(batches):
+        ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+        for a, b in chunks(texts, SHARD_CHARS):
+            words, offsets = hash_words(texts[a:b])
+            own = np.unique(words)
+            index = Postings(words, offsets, own)
+            row = [ids[a:b], own.view(np.int64), index.start, index.positions, index.shifted]
+            yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, list) else x.tolist()], t) for x, t in zip(row, types)], [c.split()[0] for c in Postings.STORED.split(", ")])
+
+
+def _stored_batches(sent, span: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                index, own = Postings.stored(row), np.asarray(row["terms"], np.int64).view(np.uint64)
+                found: dict[tuple, int] = {}
+                if len(own):
+                    at = np.searchsorted(own, p.vocabulary)
+                    at[at == len(own)] = 0
+                    here = own[at] == p.vocabulary
+                    # Passages with a term that the shard lacks can't match; the others get its numbers.
+                    good = np.flatnonzero(np.where(p.terms >= 0, here[p.terms], True).all(axis=1))
+                    terms = np.where(p.terms[good] >= 0, at[p.terms[good]], -1)
+                    _search(Passages(own, terms, [p.items[k] for k in good]), index, row["docs"], span, found)
+                yield _found_batch(found)
 
     return run
 
@@ -155,28 +204,37 @@ def leaks(
     """(doc, item, passages): the documents that hold a passage of an item, and how many different ones. Ids are strings.
 
     span None asks for the words in a row, a number for all words of a passage within that distance of its rarest
-    word, in any order.  Items come to the driver in blocks of at most items_at_once; each block is one pass over the
-    documents.  NULL and empty texts match nothing; a row that is given twice counts once.
+    word, in any order.  Items come to the driver in blocks of at most items_at_once, one after the other; what a block
+    finds is written before the next one is sent.  NULL and empty texts match nothing; a row that is given twice counts once.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    asked = items.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    passes, block = [], []
+    asked = items.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
+    if asked.limit(rules.items_at_once + 1).count() <= rules.items_at_once:
+        rows = asked.collect()
+        p = passages([r["id"] for r in rows], [r["text"] for r in rows], rules.run)
+        if not len(p.terms):
+            return spark.createDataFrame([], FOUND)
+        return _once(own.mapInArrow(_text_batches(spark.sparkContext.broadcast(p), span), FOUND))
+    index = checkpointed(own.mapInArrow(_index_batches, Postings.STORED))
+    parts, block = [], []
 
     def search() -> None:
         p = passages([r["id"] for r in block], [r["text"] for r in block], rules.run)
         if len(p.terms):
-            passes.append(own.mapInArrow(_search_batches(docs.sparkSession.sparkContext.broadcast(p), span), "doc string, item string, passages long"))
+            sent = spark.sparkContext.broadcast(p)
+            parts.append(checkpointed(_once(index.mapInArrow(_stored_batches(sent, span), FOUND))))
+            sent.destroy()
         block.clear()
 
-    for row in asked.distinct().toLocalIterator():
+    for row in asked.toLocalIterator():
         block.append(row)
         if len(block) >= rules.items_at_once:
             search()
     search()
-    if not passes:
-        return docs.sparkSession.createDataFrame([], "doc string, item string, passages long")
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.union(more)
-    return out.groupBy("doc", "item").agg(F.max("passages").alias("passages"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND)
+
+
+def _once(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc", "item").agg(F.max("passages").alias("passages"))

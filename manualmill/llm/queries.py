@@ -63,6 +63,26 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).withColumnRenamed("key", "slug")
 
 
+def p5_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of the oversized deliverables put together again from their pieces; whether every piece is within its
+    limit, and repeats the wanted end of the piece before it up to three bytes."""
+    limits = table(spark, sf_dir, "split_limits").groupBy("kind").agg(F.min("max_bytes").alias("m"), F.max("overlap_bytes").alias("o"))
+    data = F.encode("piece", "utf-8")
+    own = F.expr("substring(d, cast(own_start - start_byte + 1 as int), cast(end_byte - own_start as int))")
+    rows = _pieces(spark, sf_dir).withColumn("d", data).withColumn("own", own).join(F.broadcast(limits), "kind")
+    again = F.col("own_start") - F.col("start_byte")
+    right = (F.col("piece_no") == 1) | again.between(F.col("o") - 3, F.col("o"))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", F.decode("own", "utf-8").alias("t"))))["t"]
+    out = rows.groupBy("key").agg(F.sha2(F.array_join(parts, ""), 256).alias("sha256"), F.bool_and(F.octet_length("d") <= F.col("m")).alias("fits"), F.bool_and(right).alias("overlaps"))
+    return out.withColumnRenamed("key", "slug")
+
+
+def p7_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every spec and text its parts and their tokens, and whether all the containers they are in hold what they can."""
+    rows = _packed(spark, sf_dir).groupBy("spec_id", "doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens"), F.bool_and(F.col("fill") <= F.col("capacity")).alias("fits"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(table(spark, sf_dir, "deliverables"), "slug", "content").withColumnRenamed("key", "slug")
 
@@ -146,10 +166,12 @@ QUERIES: dict[str, Query] = {
     "p4_clean": p4_clean,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_rejoined": p5_rejoined,
     "p6_found": p6_found,
     "p6_scored": p6_scored,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p7_parts": p7_parts,
     "p7_used": p7_used,
     "p8_found": p8_found,
     "p8_near": p8_near,

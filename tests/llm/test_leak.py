@@ -46,6 +46,8 @@ def test_same_as_brute_force(spark):
     assert got == want and ("100", "20") in want and len(want) > 20
     blocks = {(r.doc, r.item) for r in leak.leaks(d, i, "doc_id", "text", "item_id", "text", LeakRules(items_at_once=3)).collect()}
     assert blocks == want
+    near = [{(r.doc, r.item) for r in leak.leaks(d, i, "doc_id", "text", "item_id", "text", rules, span=14).collect()} for rules in (LeakRules(), LeakRules(items_at_once=3))]
+    assert near[0] == near[1] >= want
 
 
 def test_near_finds_other_orders(spark):
