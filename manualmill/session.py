@@ -55,6 +55,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and written as a table below the shared checkpoint folder; like checkpointed(), but compressed and
+    by columns, for wide rows of which later plans read a part."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 #: Rows of an Arrow batch whose rows are whole texts.
 BATCH_ROWS = 256
 
