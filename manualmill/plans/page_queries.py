@@ -142,7 +142,9 @@ def q45_extract_section(spark: SparkSession, d: str) -> DataFrame:
     """The article of each HTML page, cut out of a page around it by the DOM, is the article."""
     page = F.concat(F.lit("<html><body><nav>menu</nav><article><nav>path</nav>"), "body", F.lit("<script>run()</script></article></body></html>"))
     rows = pages_of(_contents(spark, d)).select("slug", F.col("ord").cast("bigint").alias("ord"), profiles.extract_column(page, F.lit("https://origin.example/a/"), "docusaurus").alias("html"))
-    return rows.select("slug", "ord", F.length(markup.visible_text(F.col("html"))).cast("bigint").alias("chars"))
+    # References are decoded by the DOM, so what is compared are the letters outside of them.
+    letters = F.regexp_replace(F.regexp_replace(markup.visible_text(F.col("html")), r"&#?[A-Za-z0-9]+;", ""), "[^A-Za-z]", "")
+    return rows.select("slug", "ord", F.sha2(letters, 256).alias("letters"))
 
 
 QUERIES = {f.__name__: f for f in (q01_manual_build, q12_crawl_counters, q13_attempt_and_saved, q14_idle_gaps, q15_carried_headings, q16_strip_scripts, q17_page_title, q18_headings, q19_visible_chars, q20_absolutize, q21_link_inventory, q22_best_image, q23_banner_and_footer, q41_merge_markdown, q41_merge_html, q44_table_order, q45_extract_section)}
@@ -178,4 +180,5 @@ SELECT slug, sha256(CASE WHEN body LIKE '%---' THEN regexp_replace(regexp_replac
 g AS (SELECT slug, count(*) AS pages, string_agg(body, chr(10) ORDER BY ord) AS b, {_ESC.format("arg_min(t, ord) || ' Help'")} AS name FROM s GROUP BY slug)
 SELECT slug, pages, sha256('<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>' || name || '</title></head><body>' || chr(10) || '<h1>' || name || '</h1>' || chr(10) || b || chr(10) || '</body></html>' || chr(10)) AS sha256 FROM g""",
     "q44_table_order": "WITH p AS (SELECT DISTINCT source, slug FROM documents WHERE slug IS NOT NULL AND source IS NOT NULL), l AS (SELECT slug, min(ingest_id) AS o FROM ingest_results WHERE slug IS NOT NULL GROUP BY slug HAVING min(ingest_id) % 2 = 0) SELECT source, slug, (CASE WHEN o IS NULL THEN 2 ELSE 3 END)::INT AS level, row_number() OVER (PARTITION BY source ORDER BY (o IS NULL)::INT, coalesce(o, 0), slug) - 1 AS ord FROM p LEFT JOIN l USING (slug)",
+    "q45_extract_section": rf"SELECT slug, ord, sha256(regexp_replace(regexp_replace({_VIS.format('body')}, '&#?[A-Za-z0-9]+;', '', 'g'), '[^A-Za-z]', '', 'g')) AS letters FROM {_SECT}",
 }
