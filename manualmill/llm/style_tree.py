@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, small_batches
+from ..session import checkpointed, small_batches, written
 from .residue import _COMMENT, _FENCE, _INDENTED, HTML_ELEMENTS, INLINE_ELEMENTS
 
 
@@ -368,51 +368,62 @@ def parsed(docs: DataFrame, key: str, kind: str, text: str, rules: TreeRules = T
     """PARSED with row, a number of each row: the plain blocks of every document and the nodes of its tree, written once."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(text).alias("text"))
-    return checkpointed(own.mapInArrow(_parse_batches(rules), PARSED).withColumn("row", F.monotonically_increasing_id()))
-
-
-def importance(trees: DataFrame, site: DataFrame, rules: TreeRules = TreeRules()) -> tuple[DataFrame, DataFrame]:
-    """(leaves, branches) of the merged trees: (site, path, leaf, importance) of contents that several pages have at a node,
-    and (site, path, importance) of inner nodes of which no part is important."""
-    own = trees.where("key IS NOT NULL AND NOT is_null").join(site.where("site IS NOT NULL").select(F.col("slug").alias("key"), "site"), "key")
-    # A document that is given twice counts once.
-    nodes = checkpointed(own.select("key", "site", F.explode("nodes").alias("n")).select("site", "key", "n.path", "n.look", "n.chain").distinct())
-    contents = own.select("key", "site", F.inline(F.arrays_zip("paths", "leaves"))).where("leaves <> 0")
-    contents = contents.select("site", "key", F.col("paths").alias("path"), F.col("leaves").alias("leaf")).distinct()
-    pages = nodes.groupBy("site", "path", "look").agg(F.countDistinct("key").alias("s"), F.min("chain").alias("chain"))
-    pages = pages.groupBy("site", "path").agg(F.sum("s").alias("m"), F.sum(F.col("s") * F.log("s")).alias("logs"), F.count("*").alias("ways"), F.min("chain").alias("chain"))
+    return written(own.mapInArrow(_parse_batches(rules), PARSED).withColumn("row", F.monotonically_increasing_id()), "trees")
+
+
+def merged(trees: DataFrame, site: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, nodes) of the documents that have a site: (row, at, key, place, path, leaf) of every block, at its number in the
+    document, and (key, path, look, chain) of every node of a document once; key, place, path and chain are hashes, with the site
+    in those of places and paths."""
+    own = trees.where("key IS NOT NULL AND NOT is_null").select("row", "key", "places", "paths", "leaves", "nodes")
+    own = own.join(site.where("site IS NOT NULL").select(F.col("slug").alias("key"), F.xxhash64("site").alias("site")), "key")
+    own = own.withColumn("key", F.xxhash64("key"))
+    each = own.select("row", "site", "key", F.posexplode(F.arrays_zip("places", "paths", "leaves")).alias("at", "b"))
+    of = lambda c: F.xxhash64(F.col("site"), c)
+    each = each.select("row", "at", "key", of(F.col("b.places")).alias("place"), of(F.col("b.paths")).alias("path"), F.col("b.leaves").alias("leaf"))
+    nodes = own.select("site", "key", F.explode("nodes").alias("n"))
+    nodes = nodes.select("key", of(F.col("n.path")).alias("path"), "n.look", F.transform("n.chain", of).alias("chain")).distinct()
+    return written(each, "blocks"), written(nodes, "nodes")
+
+
+def importance(each: DataFrame, nodes: DataFrame, rules: TreeRules = TreeRules()) -> tuple[DataFrame, DataFrame]:
+    """(leaves, branches) of the merged trees: (path, leaf, importance) of the contents of low importance, and (path) of
+    the nodes in branches of which no part is important."""
+    contents = each.where("leaf <> 0").select("key", "path", "leaf").distinct()
+    pages = nodes.groupBy("path", "look").agg(F.countDistinct("key").alias("s"), F.min("chain").alias("chain"))
+    pages = pages.groupBy("path").agg(F.sum("s").alias("m"), F.sum(F.col("s") * F.log("s")).alias("logs"), F.count("*").alias("ways"), F.min("chain").alias("chain"))
     # Entropy of the presentations to the base of the number of pages; a node of one page tells nothing and counts as important.
     look = F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), (F.log("m") - F.col("logs") / F.col("m")) / F.log("m")))
-    pages = checkpointed(pages.select("site", "path", "m", "ways", "chain", look.alias("look")))
-    counts = contents.groupBy("site", "path", "leaf").agg(F.count("*").alias("n"))
+    pages = checkpointed(pages.select("path", "m", "ways", "chain", look.alias("look")))
+    counts = written(contents.groupBy("path", "leaf").agg(F.count("*").alias("n")), "contents")
     worth = F.when(F.col("m") < 2, 1.0).otherwise(1 - F.least(F.lit(1.0), F.log("n") / F.log("m")))
-    leaves = checkpointed(counts.join(pages.select("site", "path", "m", "look", "chain"), ["site", "path"]).withColumn("worth", worth))
-    below = leaves.select("site", F.explode("chain").alias("path"), "n", "worth").groupBy("site", "path").agg((F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("mean"))
+    leaves = counts.join(pages.select("path", "m", "look"), "path").withColumn("worth", worth)
+    # Of the leaves of a node only their number and sum are needed above it.
+    sums = leaves.groupBy("path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("worth")).alias("w"))
+    below = sums.join(pages.select("path", "chain"), "path").select(F.explode("chain").alias("path"), "n", "w")
+    below = below.groupBy("path").agg((F.sum("w") / F.sum("n")).alias("mean"))
     fade = F.pow(F.lit(rules.decay), F.col("ways"))
-    inner = pages.join(below, ["site", "path"]).withColumn("importance", (1 - fade) * F.col("look") + fade * F.col("mean"))
+    inner = checkpointed(pages.join(below, "path").withColumn("importance", (1 - fade) * F.col("look") + fade * F.col("mean")))
     # A branch is as important as its most important part.
-    most = inner.select("site", F.explode("chain").alias("path"), "importance", F.col("m").alias("mm")).groupBy("site", "path").agg(F.max("importance").alias("most"), F.min("mm").alias("fewest"))
-    branches = inner.join(most, ["site", "path"]).where((F.col("most") < rules.branch) & (F.col("m") >= rules.least_pages)).select("site", "path", F.col("most").alias("importance"))
+    most = inner.select(F.explode("chain").alias("path"), "importance").groupBy("path").agg(F.max("importance").alias("most"))
+    heads = inner.join(most, "path").where((F.col("most") < rules.branch) & (F.col("m") >= rules.least_pages)).select(F.col("path").alias("head"))
+    branches = pages.select("path", F.explode("chain").alias("head")).join(heads, ["head"]).select("path").distinct()
     own_worth = (1 - rules.presentation) * F.col("worth") + rules.presentation * F.col("look")
-    low = leaves.where((F.col("n") >= rules.least_pages) & (F.col("m") >= rules.least_pages)).select("site", "path", "leaf", own_worth.alias("importance"))
+    low = leaves.where((F.col("n") >= rules.least_pages) & (F.col("m") >= rules.least_pages)).select("path", "leaf", own_worth.alias("importance"))
     return low.where(F.col("importance") < rules.importance), branches
 
 
 def unimportant(trees: DataFrame, site: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
-    """(key, gone, branches): what is to be removed from each document: (place, leaf) pairs and paths of nodes."""
-    low, branches = importance(trees, site, rules)
-    own = trees.where("key IS NOT NULL AND NOT is_null").join(site.where("site IS NOT NULL").select(F.col("slug").alias("key"), "site"), "key")
-    has = own.select("key", "site", F.inline(F.arrays_zip("places", "paths", "leaves"))).where("leaves <> 0")
-    has = checkpointed(has.select("key", "site", F.col("places").alias("place"), F.col("paths").alias("path"), F.col("leaves").alias("leaf")).distinct())
-    found = has.join(low.select("site", "path", "leaf"), ["site", "path", "leaf"])
+    """(row, gone): the numbers of the blocks that are to be removed from each document."""
+    each, nodes = merged(trees, site)
+    low, branches = importance(each, nodes, rules)
+    found = each.where("leaf <> 0").join(low.select("path", "leaf"), ["path", "leaf"])
     # Contents that one page alone has in a place where several pages have others are its own.
-    several = has.select("site", "place", "key").distinct().groupBy("site", "place").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= rules.least_pages)
-    alone = found.groupBy("site", "place", "leaf").agg(F.count("*").alias("_n")).where("_n = 1")
-    proper = alone.join(several, ["site", "place"]).select("site", "place", "leaf")
-    leaf = found.join(proper, ["site", "place", "leaf"], "left_anti").select("key", F.struct("place", "leaf").alias("l"), F.lit(None).cast("long").alias("b"))
-    node = own.select("key", "site", F.explode("nodes.path").alias("path")).join(branches.select("site", "path"), ["site", "path"])
-    both = leaf.unionByName(node.select("key", F.lit(None).cast("struct<place:long,leaf:long>").alias("l"), F.col("path").alias("b")))
-    return both.groupBy("key").agg(F.collect_set("l").alias("gone"), F.collect_set("b").alias("branches"))
+    several = each.where("leaf <> 0").groupBy("place").agg(F.countDistinct("key").alias("_pages")).where(F.col("_pages") >= rules.least_pages)
+    alone = found.groupBy("place", "leaf").agg(F.countDistinct("key").alias("_n")).where("_n = 1")
+    proper = alone.join(several, ["place"]).select("place", "leaf")
+    gone = found.join(proper, ["place", "leaf"], "left_anti").select("row", "at").unionByName(each.join(branches, "path").select("row", "at"))
+    return gone.groupBy("row").agg(F.collect_set("at").alias("gone"))
 
 
 CLEAN = "key string, text string, headings int, list_items int, table_rows int, code_blocks int, formulas int, removed int"
@@ -421,22 +432,20 @@ CLEAN = "key string, text string, headings int, list_items int, table_rows int,
 def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        names = ("key", "is_null", "blocks", "styles", "places", "paths", "leaves", "nodes", "gone", "branches")
-        for key, null, texts, styles, places, paths, leaves, nodes, gone, branches in zip(*(batch.column(c).to_pylist() for c in names)):
+        for key, null, texts, styles, gone in zip(*(batch.column(c).to_pylist() for c in ("key", "is_null", "blocks", "styles", "gone"))):
             if null:
                 rows.append((key, None, 0, 0, 0, 0, 0, 0))
                 continue
-            drop, cut = {(g["place"], g["leaf"]) for g in gone or ()}, set(branches or ())
-            inside = {n["path"] for n in nodes if not cut.isdisjoint(n["chain"])} if cut else set()
-            left = [(s, p, b) for s, at, p, f, b in zip(styles, places, paths, leaves, texts) if (at, f) not in drop and p not in inside]
+            drop = set(gone or ())
+            left = [(s, b) for k, (s, b) in enumerate(zip(styles, texts)) if k not in drop]
             # A line of dashes stays only below the head that it belongs to.
             left = [x for k, x in enumerate(left) if x[0] != "-" or k and left[k - 1][0] == "r"]
             out = ""
-            for k, (s, _, b) in enumerate(left):
+            for k, (s, b) in enumerate(left):
                 close = k and s in "lr-" and (left[k - 1][0] == s or {s, left[k - 1][0]} == {"r", "-"})
                 out += ("" if not k else "\n" if close else "\n\n") + b
             count = {s: sum(x[0] == s for x in left) for s in "hlrc"}
-            formulas = sum(len(_IS_FORMULA.findall(b)) for s, _, b in left if "$" in b and s != "c")
+            formulas = sum(len(_IS_FORMULA.findall(b)) for s, b in left if "$" in b and s != "c")
             rows.append((key, out, count["h"], count["l"], count["r"], count["c"], formulas, len(texts) - len(left)))
         types = [pa.string(), pa.string(), *[pa.int32()] * 6]
         columns = list(zip(*rows)) if rows else [[]] * 8
@@ -450,6 +459,6 @@ def cleaned(docs: DataFrame, key: str, kind: str, text: str, site: DataFrame, ru
     are converted and keep all their blocks; a row given twice counts once.
     """
     trees = parsed(docs, key, kind, text, rules)
-    once = trees.groupBy("key", "text_id").agg(F.min("row").alias("row"))
-    what = once.join(unimportant(trees, site, rules), "key", "left").select("row", "gone", "branches")
-    return trees.join(what, "row").select("key", "is_null", "blocks", "styles", "places", "paths", "leaves", "nodes", "gone", "branches").mapInArrow(_clean_batches, CLEAN)
+    once = trees.groupBy("key", "text_id").agg(F.min("row").alias("row")).select("row")
+    what = once.join(unimportant(trees, site, rules), "row", "left")
+    return trees.select("row", "key", "is_null", "blocks", "styles").join(what, "row").drop("row").mapInArrow(_clean_batches, CLEAN)
