@@ -36,8 +36,9 @@ class OrderMinHash:
 
     Texts of similarity s whose order is kept agree in a sketch with probability s^length, so at 0.6 in 27 of 128
     sketches on average and in 15 if moved blocks cost the rest; texts of similarity 0.05, as boilerplate makes them, in
-    0.01.  With agree = 2 a pair of 0.6 is lost with a probability of about 1 in 100,000, and texts that merely share
-    boilerplate, whose number grows as the square of the corpus, hardly ever become candidates.
+    0.01.  With agree = 2 a pair of 0.6 that differs by scattered edits is lost with a probability of about 1 in 100,000 by
+    this formula; lines of a dozen words in another order break the blocks as well, and about 1 in 1,000 such pairs may be
+    lost.  Texts that merely share boilerplate, whose number grows as the square of the corpus, hardly ever become candidates.
     """
 
     run: int = 4
