@@ -96,6 +96,49 @@ def test_a_long_chain_is_whole(spark):
     assert run(spark, "openstax", f"{base}/0", rows, cap=700)[1].truncated
 
 
+def most_rows(spark, action):
+    """The result of action, and the most rows that an operator of its plans made."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before, most = store.executionsCount(), 0
+    last = store.executionsList().last().executionId() if before else -1
+    result = action()
+    bus.waitUntilEmpty(30_000)
+    done = store.executionsList()
+    for e in (done.apply(k) for k in range(done.size())):
+        if e.executionId() > last:
+            rows = {e.metrics().apply(k).accumulatorId() for k in range(e.metrics().size()) if e.metrics().apply(k).name() == "number of output rows"}
+            values = store.executionMetrics(e.executionId()).iterator()
+            while values.hasNext():
+                pair = values.next()
+                if pair._1() in rows:
+                    most = max(most, int(pair._2().replace(",", "")))
+    return result, most
+
+
+def test_guides_of_one_host_meet_only_their_own_pages(spark):
+    g = "https://support.apple.com/guide"
+    page = lambda k, *links: f'<div id="article-section"><div><h1>P{k}</h1>{" ".join(links)}</div></div>'
+    seeds, rows = [], []
+    for n in range(60):
+        seeds.append((f"s{n}", f"{g}/g{n}/welcome/1/mac/1"))
+        paths = [f"/guide/g{n}/p{k}/1/mac/1" for k in range(3)]
+        rows.append((seeds[-1][1], page("w", *paths, f"/guide/g{n + 1}/p0/1/mac/1", f"/guide/g{n}/p9/1/macos/1")))
+        rows += [(f"https://support.apple.com{x}", page(f"{n}.{k}"), 500 if k == 2 else 200) for k, x in enumerate(paths)]
+    seeds.append(("other platform", f"{g}/g0/welcome/1/macos/1"))
+    rows += [(seeds[-1][1], page("w", "/guide/g0/p7/1/macos/1")), (f"{g}/g0/p7/1/macos/1", page("m")), ("https://o.example/guide/g0/p8/1/mac/1", page("o"))]
+    answered = answers(spark, rows)
+
+    def action():
+        found = acquire.acquired("apple_help", spark.createDataFrame(seeds, "source string, url string"), answered)
+        return [(r.source, r.body) for r in found.pages.orderBy("source", "ord").collect()], {r.source: (r.pages, r.lost) for r in acquire.counters(found).collect()}
+
+    (got, c), most = most_rows(spark, action)
+    assert c == {f"s{n}": (2, 1) for n in range(60)} | {"other platform": (1, 0)}
+    assert [b.split("<")[1] for _, b in got if b and b.startswith("<h2>P7.")] == ["h2>P7.0", "h2>P7.1"] and [b for s, b in got if s == "other platform"] == ["<h2>Pm</h2>"]
+    assert most < 1000  # each with each are 61 times 243
+
+
 def test_numbered_sitemaps_end_at_the_first_that_is_missing(spark):
     s, a = "https://support.microsoft.com/_sitemaps/word_en-us_", "https://support.microsoft.com/en-us/office/"
     rows = [(f"{s}1.xml", urlset(a + "x")), (f"{s}2.xml", "", 404), (f"{s}3.xml", urlset(a + "z")), (a + "x", '<h1>T</h1><div id="ocArticle">body</div>')]
