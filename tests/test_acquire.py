@@ -139,6 +139,25 @@ def test_guides_of_one_host_meet_only_their_own_pages(spark):
     assert most < 1000  # each with each are 61 times 243
 
 
+def test_books_of_one_host_are_walked_along_links_that_are_kept_once(spark):
+    b = "https://openstax.org/books"
+    page = lambda k, back, on: f"<title>P - Book {k} | OpenStax</title>" + (f'<a aria-label="Previous Page" href="{back}">p</a>' if back else "") + (f'<a href="{on}" aria-label="Next Page">n</a>' if on else "") + f'<main class="page-content"><p>{k}</p></main>'
+    seeds = [(f"s{n}", f"{b}/b{n}/pages/p1") for n in range(60)] + [("again", f"{b}/b7/pages/p2"), ("none", f"{b}/none/pages/p0")]
+    rows = [(f"{b}/b{n}/pages/p{k}", page(f"{n}.{k}", f"p{k - 1}" if k else "", f"p{k + 1}" if k < 3 else ""), 500 if n == 9 and k == 2 else 200) for n in range(60) for k in range(4)]
+    rows[3] = (rows[3][0], page("0.3", "p2", "/books/b1/pages/p2"))  # leads on into another book
+    answered = answers(spark, rows)
+
+    def action():
+        found = acquire.acquired("openstax", spark.createDataFrame(seeds, "source string, url string"), answered, 5)
+        return [(r.source, r.body[3:-4]) for r in found.pages.orderBy("source", "ord").collect()], {r.source: r for r in acquire.counters(found).collect()}
+
+    (got, c), most = most_rows(spark, action)
+    want = {s: [f"{n}.{k}" for k in range(4)] for n, s in [(n, f"s{n}") for n in range(60)] + [(7, "again")]} | {"s0": ["0.0", "0.1", "0.2", "0.3", "1.2"], "s9": ["9.0", "9.1"]}
+    assert got == [(s, x) for s in sorted(want) for x in want[s]]
+    assert {s for s in c if c[s].truncated} == {"s0", "s9", "none"} and c["none"].error == "no first page" and c["again"].title == "Book 7.0"
+    assert most < 1000  # each with each are 62 times 239
+
+
 def test_numbered_sitemaps_end_at_the_first_that_is_missing(spark):
     s, a = "https://support.microsoft.com/_sitemaps/word_en-us_", "https://support.microsoft.com/en-us/office/"
     rows = [(f"{s}1.xml", urlset(a + "x")), (f"{s}2.xml", "", 404), (f"{s}3.xml", urlset(a + "z")), (a + "x", '<h1>T</h1><div id="ocArticle">body</div>')]
